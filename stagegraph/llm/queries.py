@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from stagegraph.llm import bpe, line_dedup
+from stagegraph.llm import bpe, line_dedup, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
