@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from stagegraph.llm import bpe, decontamination, line_dedup, simhash, substring_dedup, suffix_dedup
+from stagegraph.llm import bpe, decontamination, html_extraction, line_dedup, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_decontamination": decontamination.op2_decontamination,
+    "op3_html_extraction": html_extraction.op3_html_extraction,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_byte_bpe": bpe.op6_byte_bpe,
