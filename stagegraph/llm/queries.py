@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stagegraph.llm import bpe, decontamination, html_extraction, line_dedup, simhash, substring_dedup, suffix_dedup, toxicity
+from stagegraph.llm import bpe, decontamination, html_extraction, line_dedup, simhash, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op8_warc": warc.op8_warc,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
