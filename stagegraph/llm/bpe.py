@@ -110,7 +110,7 @@ def _unpack_bytes(blob: bytes) -> list[bytes]:
 PIECE = "chunk long, bucket int, data binary"
 
 
-def encode(docs: DataFrame, path: str, pattern: str, buckets: int = 512, chunk_words: int = 4_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, buckets: int = 256, chunk_words: int = 1_000_000) -> DataFrame:
     """(doc_id, ids array<int>) of docs' doc_id and text by the ranks in the file ``path``."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -156,12 +156,15 @@ def encode(docs: DataFrame, path: str, pattern: str, buckets: int = 512, chunk_w
         size = np.concatenate([x[0] for x in both]).astype(np.int64) if both else np.zeros(0, np.int64)
         flat = np.concatenate([x[1] for x in both]).astype(np.int32) if both else np.zeros(0, np.int32)
         start = np.cumsum(size) - size
-        per_word = size[codes]
-        ends = np.cumsum(per_word)
-        gather = np.repeat(start[codes] - (ends - per_word), per_word) + np.arange(int(ends[-1]) if len(ends) else 0)
-        offsets = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(lengths.astype(np.int64))))]
-        doc = pa.array(ids.view(np.int64), mask=known == 0)
-        parts = [pa.RecordBatch.from_arrays([doc.slice(a, b - a), pa.ListArray.from_arrays(pa.array((offsets[a : b + 1] - offsets[a]).astype(np.int32)), pa.array(flat[gather[offsets[a] : offsets[b]]]))], schema=done) for a, b in _runs(offsets)]
+        ends = np.concatenate(([0], np.cumsum(lengths.astype(np.int64))))
+        doc, parts = pa.array(ids.view(np.int64), mask=known == 0), []
+        for a, b in _runs(ends):  # a run of documents at a time
+            mine = codes[ends[a] : ends[b]]
+            per_word = size[mine]
+            to = np.concatenate(([0], np.cumsum(per_word)))
+            gather = np.repeat(start[mine] - to[:-1], per_word) + np.arange(to[-1])
+            offsets = to[ends[a : b + 1] - ends[a]].astype(np.int32)
+            parts.append(pa.RecordBatch.from_arrays([doc.slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[gather]))], schema=done))
         return pa.Table.from_batches(parts, schema=done)
 
     n = partitions(docs)
@@ -171,8 +174,8 @@ def encode(docs: DataFrame, path: str, pattern: str, buckets: int = 512, chunk_w
     return ids.groupBy("chunk").cogroup(docs.mapInArrow(positions, PIECE).groupBy("chunk")).applyInArrow(together, "doc_id long, ids array<int>")
 
 
-def _runs(offsets: np.ndarray, most: int = 1 << 20):
-    """Runs of documents of about ``most`` ids, so that no Arrow batch grows with the run."""
+def _runs(offsets: np.ndarray, most: int = 1 << 18):
+    """Runs of documents of about ``most`` words, so that no Arrow batch grows with the chunk."""
     a, n = 0, len(offsets) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
