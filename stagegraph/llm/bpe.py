@@ -213,8 +213,8 @@ def _lists(column) -> list[list[int]]:
 
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """Per document: n_tokens, and the SHA-256 of the decimal ids joined by commas and of the decoded bytes."""
-    shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    """Per document: ids, n_tokens, and the SHA-256 of the decimal ids joined by commas and of the decoded bytes."""
+    shape = "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
     target = arrow_schema(encoded.sparkSession, shape)
     tokens = encoded.sparkSession.sparkContext.broadcast(token_bytes(load_ranks(path)))
 
@@ -224,7 +224,7 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
             lists = _lists(batch.column("ids"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in lists], pa.int64()), pa.array([sha(b",".join([decimal[i] for i in x])) for x in lists]), pa.array([sha(b"".join([of[i] for i in x])) for x in lists])], schema=target)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array([len(x) for x in lists], pa.int64()), pa.array([sha(b",".join([decimal[i] for i in x])) for x in lists]), pa.array([sha(b"".join([of[i] for i in x])) for x in lists])], schema=target)
 
     return encoded.mapInArrow(run, shape)
 
@@ -233,4 +233,5 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, patt
     import public_tokenizers
 
     path = path or public_tokenizers.path(VOCABULARY)
-    return digests(encode(table(spark, sf_dir, "documents"), path, pattern or public_tokenizers.PATTERN), path)
+    done = digests(encode(table(spark, sf_dir, "documents"), path, pattern or public_tokenizers.PATTERN), path)
+    return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

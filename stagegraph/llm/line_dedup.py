@@ -23,12 +23,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stagegraph.llm.common import arrow_schema, doc_key, partitions, record, table, written
 from stagegraph.llm.tokens import mix
 
 SPACE = " \t\n\x0b\x0c\r"
 _LOWER = {c: c + 32 for c in range(65, 91)}
+DOC, KEYS = "__line_doc", "__line_keys"  # names that no table has
 COUNTS = "key binary, shard int, n_docs long, top_doc long"
 FILTERS = "shard int, blob binary, n long"
 
@@ -191,13 +193,13 @@ def shards_for(docs: DataFrame) -> int:
 
 
 def drop_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, shards: int | None = None) -> DataFrame:
-    """docs' columns doc_id and text, with text cleaned, and n_lines and n_dropped: lines whose key at least ``min_docs`` documents
-    hold go everywhere but in the largest doc_id.
+    """docs' columns with text cleaned, and n_lines and n_dropped: lines whose key at least ``min_docs`` documents hold go everywhere
+    but in the largest doc_id. Columns of docs that are called like those two are replaced.
 
     The heavy keys' cuckoo filters part the documents' lines first: only a line that its shard's filter may hold is joined with the
     exact counts.
     """
-    docs = docs.select("doc_id", "text")
+    carried = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     shards = shards or shards_for(docs)
     counts = insert(None, None, docs, shards, min_chars)
     heavy = written(counts.where(F.col("n_docs") >= min_docs))
@@ -205,20 +207,24 @@ def drop_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, shards:
     lines = keyed_lines(docs, min_chars).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
     drops = _screen(lines, filters, partitions(docs)).join(heavy.select("key", "top_doc"), "key").where(F.col("doc") != F.col("top_doc"))
     per_doc = drops.groupBy("doc").agg(F.collect_set("key").alias("keys"))
-    target = arrow_schema(docs.sparkSession, "doc_id long, text string, n_lines long, n_dropped long")
+    fresh = arrow_schema(docs.sparkSession, "text string, n_lines long, n_dropped long")
 
     def rebuild(batches):
         for batch in batches:
-            out = {f.name: [] for f in target}
-            for doc, text, keys in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "keys")), strict=True):
+            out = {f.name: [] for f in fresh}
+            for text, keys in zip(batch.column("text").to_pylist(), batch.column(KEYS).to_pylist(), strict=True):
                 lines, gone = (text or "").split("\n"), set(keys or ())
                 kept = [x for x in lines if len(x) < min_chars or len(k := line_key(x)) < min_chars or hashlib.sha256(k.encode("utf-8", "surrogatepass")).digest() not in gone] if gone else lines
-                for name, value in zip(out, (doc, "\n".join(kept), len(lines), len(lines) - len(kept)), strict=True):
+                for name, value in zip(out, ("\n".join(kept), len(lines), len(lines) - len(kept)), strict=True):
                     out[name].append(value)
-            yield record(out, target)
-
-    keyed = docs.withColumn("doc", doc_key())
-    return keyed.join(per_doc.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "keys").mapInArrow(rebuild, "doc_id long, text string, n_lines long, n_dropped long")
+            rest = batch.select(carried)
+            made = record(out, fresh)
+            yield pa.RecordBatch.from_arrays([*rest.columns, *made.columns], schema=pa.schema([*rest.schema, *fresh]))
+
+    keyed = docs.select(*carried, "text", doc_key().alias(DOC))
+    shape = StructType([*docs.select(*carried).schema, *StructType.fromDDL("text string, n_lines long, n_dropped long")])
+    gone = per_doc.select(F.col("doc").alias(DOC), F.col("keys").alias(KEYS)).hint("shuffle_hash")
+    return keyed.join(gone, DOC, "left").select(*carried, "text", KEYS).mapInArrow(rebuild, shape)
 
 
 def _screen(lines: DataFrame, filters: DataFrame, n: int) -> DataFrame:

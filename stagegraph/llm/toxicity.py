@@ -22,6 +22,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,6 +157,19 @@ def severity(docs: DataFrame, model: OrdinalModel, reject: float = 0.5) -> DataF
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, SCORED)
 
 
+def accepted(docs: DataFrame, model: OrdinalModel, reject: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that are not toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        model = shared.value
+        for batch in batches:
+            above = model.above([model.features(x) for x in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array(above[:, 0] < reject))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return severity(docs, train(docs, table(spark, sf_dir, "labels")))
