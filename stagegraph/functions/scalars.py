@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 SECOND, MINUTE, HOUR, DAY = 1_000, 60_000, 3_600_000, 86_400_000
 # Name parts of minor contigs.
@@ -98,7 +99,7 @@ def join_shell_lines(text: Column | str) -> Column:
     return F.trim(F.aggregate(F.split(F.regexp_replace(col(text), r"^\s+|\s+$", ""), "\r?\n"), state, step, lambda acc: acc["out"]))
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def split_shell_args(commands: pd.Series) -> pd.Series:
     """Arguments of a command line; quotes group, a backslash escapes outside single quotes. A state machine, so not an expression."""
 
