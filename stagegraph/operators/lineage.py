@@ -153,3 +153,31 @@ def modified_commands(outputs: DataFrame, commands: DataFrame) -> DataFrame:
     from stagegraph.functions.scalars import fingerprint
 
     return outputs.join(commands, "output").where(F.col("fingerprint") != fingerprint("command", "output"))
+
+
+def stubs(nodes: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """Nodes that are stubs or come from one; ``nodes(node, stub)``."""
+    return reach(nodes.where("stub"), edges, down=True, depth=depth).select("node").distinct()
+
+
+def provenance(outputs: DataFrame) -> DataFrame:
+    """Per output what made it, how long it waited and how long it ran; unknown times and names are '-' or null."""
+    known = lambda a, b: F.when((F.col(a) > 0) & (F.col(b) > 0), F.col(b) - F.col(a))
+    return outputs.select("output_path", F.coalesce("stage", F.lit("Unknown")).alias("stage"), F.coalesce("command", F.lit("-")).alias("command"), known("create_ms", "start_ms").alias("pending_ms"), known("start_ms", "stop_ms").alias("running_ms"), F.coalesce("tools", F.lit("-")).alias("tools"))
+
+
+def added(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph with new records in the place of those of the same node, and their edges instead of the old ones into them."""
+    keep = nodes.join(new_nodes.select("node"), "node", "left_anti").unionByName(new_nodes)
+    stay = edges.join(new_nodes.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+    return keep, stay.unionByName(new_edges.select("src", "dst"))
+
+
+def outline(nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """(path, node, level): the graph as an indented text, a row for each way from a root; order by path."""
+    now = roots(nodes, edges).select("node", F.col("node").alias("path"), F.lit(0).alias("level"))
+    out = [now]
+    for i in range(1, depth + 1):
+        now = now.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")), "node").select(F.col("next").alias("node"), F.concat_ws("/", "path", "next").alias("path"), F.lit(i).alias("level"))
+        out.append(now)
+    return reduce(DataFrame.unionByName, out)

@@ -40,3 +40,50 @@ def aliased(files: DataFrame, aliases: DataFrame) -> DataFrame:
 def first_wins(files: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Distinct by key, keeping the first in order."""
     return files.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def from_stages(outputs: DataFrame, requests: DataFrame) -> DataFrame:
+    """Outputs of the named stages in the request's own branch or an ancestor of it. ``outputs(stage, branch_path, path)`` and
+    ``requests(request_id, stage, branch_path)`` with branch paths as arrays from the root: a prefix is an ancestor, so each request
+    meets its ancestors by equality on every prefix of its path, of which there are as many as its depth."""
+    prefixes = F.transform(F.sequence(F.lit(0), F.size("branch_path")), lambda n: F.slice("branch_path", 1, n))
+    asked = requests.select("request_id", "stage", F.explode(prefixes).alias("branch_path"))
+    return asked.join(outputs, ["stage", "branch_path"]).select("request_id", "stage", "branch_path", "path")
+
+
+def siblings(outputs: DataFrame, requests: DataFrame) -> DataFrame:
+    """Outputs of a stage in all lanes beside the request's: equal branch paths but for the last part."""
+    parent = lambda c: F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0)))
+    a = requests.select("request_id", "stage", parent("branch_path").alias("_parent"))
+    b = outputs.select("stage", parent("branch_path").alias("_parent"), F.element_at("branch_path", -1).alias("lane"), "path")
+    return a.join(b, ["stage", "_parent"]).drop("_parent")
+
+
+def zipped(left: DataFrame, right: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Rows of two lists of each key paired by position; the longer one's rest is dropped."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    return left.withColumn("place", place).drop(order).join(right.withColumn("place", place).drop(order), [*by, "place"])
+
+
+def configured(commands: DataFrame, settings: DataFrame) -> DataFrame:
+    """Each command's settings by precedence: default, then its stage's, then its command's. ``settings(level, name, key, value)`` with
+    levels default, stage, command; ``commands(id, stage, config)``. The result has a row for each command and key."""
+    rank = F.when(F.col("level") == "command", 2).when(F.col("level") == "stage", 1).otherwise(0)
+    named = settings.withColumn("rank", rank)
+    names = F.array(F.struct(F.lit("default").alias("level"), F.lit("").alias("name")), F.struct(F.lit("stage").alias("level"), F.col("stage").alias("name")), F.struct(F.lit("command").alias("level"), F.col("config").alias("name")))
+    asked = commands.select("id", F.explode(names).alias("n")).select("id", "n.level", "n.name")
+    return asked.join(named, ["level", "name"]).groupBy("id", "key").agg(F.max_by("value", "rank").alias("value"))
+
+
+def glob_counts(files: DataFrame, patterns: list[str]) -> DataFrame:
+    """How many files each glob matches, in one pass."""
+    from stagegraph.functions.scalars import file_name, glob_to_regex
+
+    counts = files.agg(*[F.count_if(file_name("path").rlike(glob_to_regex(p))).alias(f"p{i}") for i, p in enumerate(patterns)])
+    rows = F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(f"p{i}").alias("n")) for i, p in enumerate(patterns)])
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def branch_index(branches: DataFrame) -> DataFrame:
+    """The place of each branch among its parent's children, from 0 in name order; ``branches(parent, branch)``."""
+    return branches.withColumn("index", F.dense_rank().over(Window.partitionBy("parent").orderBy("branch")) - 1)

@@ -372,6 +372,52 @@ def aliases(spark, sf_dir):
     return resolve.aliased(rows, named).select("l_orderkey", "l_linenumber", "path")
 
 
+@query("""
+WITH a AS (SELECT n_regionkey AS k, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS place FROM nation),
+     b AS (SELECT c_nationkey % 5 AS k, c_name, row_number() OVER (PARTITION BY c_nationkey % 5 ORDER BY c_custkey) AS place FROM customer)
+SELECT k, CAST(place AS INTEGER) AS place, n_name, c_name FROM a JOIN b USING (k, place)
+""")
+def positional_zip(spark, sf_dir):
+    a = load(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k"), "n_name", F.col("n_nationkey").cast("long").alias("ord"))
+    b = load(spark, sf_dir, "customer").select((F.col("c_nationkey") % 5).alias("k"), "c_name", F.col("c_custkey").alias("ord"))
+    return resolve.zipped(a, b, ["k"], "ord")
+
+
+SETTINGS = [("default", "", "threads", "1"), ("default", "", "queue", "long"), ("stage", "1-URGENT", "threads", "4"), ("stage", "5-LOW", "threads", "8"), ("command", "O", "queue", "short")]
+
+
+@query("""
+SELECT o_orderkey AS id, 'threads' AS key, CASE o_orderpriority WHEN '1-URGENT' THEN '4' WHEN '5-LOW' THEN '8' ELSE '1' END AS value FROM orders
+UNION ALL SELECT o_orderkey, 'queue', CASE o_orderstatus WHEN 'O' THEN 'short' ELSE 'long' END FROM orders
+""")
+def config_precedence(spark, sf_dir):
+    c = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("stage"), F.col("o_orderstatus").alias("config"))
+    return resolve.configured(c, spark.createDataFrame(SETTINGS, "level string, name string, key string, value string"))
+
+
+@query(f"WITH {EVENT_FILES}, g AS (SELECT * FROM (VALUES ('*.click', '%.click'), ('s_1_*', 's!_1!_%'), ('*.view', '%.view')) v(pattern, l)) SELECT pattern, count(*) FILTER (WHERE path LIKE l ESCAPE '!') AS n FROM files, g GROUP BY pattern")
+def glob_counts(spark, sf_dir):
+    return resolve.glob_counts(event_files(spark, sf_dir), ["*.click", "s_1_*", "*.view"])
+
+
+@query('SELECT r_name AS parent, n_name AS branch, CAST(dense_rank() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS INTEGER) AS "index" FROM nation JOIN region ON r_regionkey = n_regionkey')
+def branch_index(spark, sf_dir):
+    both = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    return resolve.branch_index(both.select(F.col("r_name").alias("parent"), F.col("n_name").alias("branch")))
+
+
+@query("""
+SELECT c_custkey AS request_id, 'load' AS stage, path FROM customer JOIN (SELECT n_nationkey AS k, n_name AS path FROM nation UNION ALL SELECT n_nationkey, r_name FROM nation JOIN region ON r_regionkey = n_regionkey) ON k = c_nationkey
+""")
+def resolve_from_stage(spark, sf_dir):
+    text = lambda c: F.col(c).cast("string")
+    nation = load(spark, sf_dir, "nation")
+    region = load(spark, sf_dir, "region")
+    made = nation.select(F.lit("load").alias("stage"), F.array(text("n_regionkey"), text("n_nationkey")).alias("branch_path"), F.col("n_name").alias("path")).unionByName(region.select(F.lit("load").alias("stage"), F.array(text("r_regionkey")).alias("branch_path"), F.col("r_name").alias("path")))
+    asked = load(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("request_id"), F.lit("load").alias("stage"), F.array(text("n_regionkey"), text("n_nationkey"), text("c_custkey")).alias("branch_path"))
+    return resolve.from_stages(made, asked).select("request_id", "stage", "path")
+
+
 # ---------------------------------------------------------------- names
 
 
@@ -499,6 +545,36 @@ def lineage_descendants(spark, sf_dir):
     return lineage.descendants(edges, nodes.where(F.col("node").startswith("n_")), depth=4)
 
 
+@query(f"""
+WITH {GRAPH}, stub AS (SELECT node FROM nodes WHERE starts_with(node, 'c_') AND CAST(substr(node, 3) AS BIGINT) % 3 = 0),
+o AS (SELECT dst AS node FROM edges JOIN stub ON src = node)
+SELECT node FROM stub UNION SELECT node FROM o UNION SELECT dst FROM edges JOIN o ON src = o.node
+""")
+def stub_propagation(spark, sf_dir):
+    nodes, edges = nodes_and_edges(spark, sf_dir)
+    return lineage.stubs(nodes.withColumn("stub", F.col("node").startswith("c_") & (F.substring_index("node", "_", -1).cast("long") % 3 == 0)), edges, depth=2)
+
+
+@query(f"""
+WITH {GRAPH} SELECT dst AS node, src || '/' || dst AS path, CAST(1 AS INTEGER) AS level FROM edges WHERE starts_with(src, 'r_')
+UNION ALL SELECT node, node, 0 FROM nodes WHERE starts_with(node, 'r_')
+UNION ALL SELECT b.dst, a.src || '/' || a.dst || '/' || b.dst, 2 FROM edges a JOIN edges b ON b.src = a.dst WHERE starts_with(a.src, 'r_')
+""")
+def lineage_outline(spark, sf_dir):
+    return lineage.outline(*nodes_and_edges(spark, sf_dir), depth=2)
+
+
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS output_path, coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END, 'Unknown') AS stage, '-' AS command,
+       CAST(NULL AS BIGINT) AS pending_ms, epoch_us(l_shipdate) // 1000 - epoch_us(o_orderdate) // 1000 AS running_ms, '-' AS tools
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1
+""")
+def provenance_rows(spark, sf_dir):
+    both = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "lineitem").where("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey"))
+    out = both.select(F.col("o_orderkey").cast("string").alias("output_path"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("stage"), F.lit(None).cast("string").alias("command"), F.lit(0).cast("long").alias("create_ms"), _ms("o_orderdate").alias("start_ms"), _ms("l_shipdate").alias("stop_ms"), F.lit(None).cast("string").alias("tools"))
+    return lineage.provenance(out)
+
+
 @query(f"WITH {GRAPH} SELECT node, ts FROM nodes WHERE node NOT IN (SELECT src FROM edges)")
 def lineage_leaves(spark, sf_dir):
     return lineage.leaves(*nodes_and_edges(spark, sf_dir))
