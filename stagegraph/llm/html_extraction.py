@@ -203,14 +203,18 @@ def _siblings(best: Node) -> list[Node]:
     if best.parent is None:
         return [best]
     least = max(5.0, 0.25 * best.points * (1 - _density(best)))
-    kept = []
+    kept, elements = [], [c for c in best.parent.children if isinstance(c, Node)]
+    at = elements.index(best)
+    while at and elements[at - 1].name in HEADINGS:  # headings right before it are its own
+        at -= 1
+    titles = elements[at : elements.index(best)]
     for c in best.parent.children:
         if c is best:
             kept.append(c)
         elif isinstance(c, Node):
             own = c.points * (1 - _density(c))
             prose = c.name == "p" and _density(c) < 0.25 and (c.size > 80 or (c.size and _text(c).rstrip().endswith((".", "!", "?"))))
-            if own >= least or prose or (c.name == "h1" and c.size):
+            if own >= least or prose or (c.name == "h1" and c.size) or c in titles:
                 kept.append(c)
     return kept
 
