@@ -181,3 +181,8 @@ def outline(nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
         now = now.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")), "node").select(F.col("next").alias("node"), F.concat_ws("/", "path", "next").alias("path"), F.lit(i).alias("level"))
         out.append(now)
     return reduce(DataFrame.unionByName, out)
+
+
+def cleanup_totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """How many outputs a cleanup would remove, and their bytes; ``nodes`` as for the candidates, with ``size``."""
+    return nodes.join(cleanup_candidates(nodes, edges), "node", "left_semi").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))

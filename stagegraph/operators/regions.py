@@ -168,3 +168,11 @@ def gene_extents(genes: DataFrame) -> DataFrame:
 def ordered(bed: DataFrame) -> DataFrame:
     """By size descending, then name descending, start, end."""
     return bed.orderBy(F.desc(F.col("end") - F.col("start")), F.desc("chr"), "start", "end")
+
+
+def chromosome_rank(label: Column | str = "chr") -> Column:
+    """A sort key: numbered labels by number, then X, Y and M, then all others by name."""
+    name = F.regexp_replace(F.col(label) if isinstance(label, str) else label, "^chr", "")
+    number = name.try_cast("int")
+    known = F.when(number.isNotNull(), number).when(name == "X", 1_000_001).when(name == "Y", 1_000_002).when(name.isin("M", "MT"), 1_000_003)
+    return F.struct(F.coalesce(known, F.lit(2_000_000)).alias("rank"), F.when(known.isNull(), name).otherwise("").alias("name"))

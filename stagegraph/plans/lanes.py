@@ -215,3 +215,11 @@ def check(df: DataFrame, name: str, condition: Column, otherwise: Callable[[Data
     if otherwise is not None and not result.first().passed:
         otherwise(df.where(~F.coalesce(condition, F.lit(False))))
     return result
+
+
+def graph_json(plan: Plan, spark) -> DataFrame:
+    """One row: the definition as {"nodes": [...], "edges": [{"from", "to"}]}, stages in order of appearance."""
+    edges, ends = plan.edges()
+    names = list(dict.fromkeys([x for e in edges for x in e] + list(ends)))
+    rows = spark.createDataFrame([(names, [{"from": a, "to": b} for a, b in dict.fromkeys(edges)])], "nodes array<string>, edges array<struct<from:string,to:string>>")
+    return rows.select(F.to_json(F.struct("nodes", "edges")).alias("json"))

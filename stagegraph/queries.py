@@ -496,6 +496,18 @@ def region_split_sequential(spark, sf_dir):
     return regions.split_sequential(bed(spark, sf_dir), 40, 5000)
 
 
+@query("""
+WITH l AS (SELECT 'chr' || CASE WHEN p_partkey % 9 = 0 THEN 'X' WHEN p_partkey % 9 = 1 THEN 'M' WHEN p_partkey % 9 = 2 THEN 'Un' || p_partkey % 4 ELSE CAST(p_partkey % 23 + 1 AS VARCHAR) END AS chr FROM part),
+d AS (SELECT DISTINCT chr, substr(chr, 4) AS n FROM l)
+SELECT chr, row_number() OVER (ORDER BY CASE WHEN regexp_matches(n, '^[0-9]+$') THEN CAST(n AS INTEGER) WHEN n = 'X' THEN 1000001 WHEN n = 'M' THEN 1000003 ELSE 2000000 END, n) AS place FROM d
+""")
+def chromosome_order(spark, sf_dir):
+    k = F.col("p_partkey")
+    label = F.when(k % 9 == 0, "X").when(k % 9 == 1, "M").when(k % 9 == 2, F.concat(F.lit("Un"), (k % 4).cast("string"))).otherwise((k % 23 + 1).cast("string"))
+    names = load(spark, sf_dir, "part").select(F.concat(F.lit("chr"), label).alias("chr")).distinct()
+    return names.select("chr", F.row_number().over(Window.orderBy(regions.chromosome_rank())).cast("long").alias("place"))  # labels, not rows
+
+
 CONTIGS = ["1", "chr2", "X", "M", "chrM", "GL000191.1", "Un_gl000211", "chrUn_KI270302v1", "chr1_KI270706v1_random", "chr6_apd_hap1", "chr1_KI270762v1_alt", "chr1_fix", "chrEBV", "HLA-A", "NC_007605"]
 
 
@@ -616,6 +628,16 @@ def cleanup_candidates(spark, sf_dir):
     return lineage.cleanup_candidates(nodes.withColumn("file_exists", k % 11 != 0).withColumn("preserve", k % 13 == 0).withColumn("intermediate", k % 17 == 0).withColumn("accompanies", F.lit(None).cast("string")), edges)
 
 
+@query(f"""
+WITH {GRAPH}, state AS (SELECT node, k % 11 <> 0 AS file_exists, k % 13 = 0 AS preserve, k % 17 = 0 AS intermediate, k AS size FROM (SELECT node, CAST(regexp_extract(node, '_([0-9]+)', 1) AS BIGINT) AS k FROM nodes))
+SELECT count(*) AS n_files, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM state WHERE file_exists AND NOT preserve AND (intermediate OR node IN (SELECT src FROM edges))
+""")
+def cleanup_totals(spark, sf_dir):
+    nodes, edges = nodes_and_edges(spark, sf_dir)
+    k = F.regexp_extract("node", "_([0-9]+)", 1).cast("long")
+    return lineage.cleanup_totals(nodes.withColumn("file_exists", k % 11 != 0).withColumn("preserve", k % 13 == 0).withColumn("intermediate", k % 17 == 0).withColumn("accompanies", F.lit(None).cast("string")).withColumn("size", k), edges)
+
+
 @query("SELECT l_orderkey AS output, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY CAST(l_partkey AS VARCHAR)) AS inputs FROM lineitem GROUP BY l_orderkey")
 def group_outputs_by_inputs(spark, sf_dir):
     return lineage.grouped_by_inputs(load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("output"), F.col("l_partkey").cast("string").alias("input")))
