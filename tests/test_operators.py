@@ -153,3 +153,24 @@ def test_streams(spark, tmp_path):
     assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 2, 4]
     events.send_once(events.read_events(spark, str(tmp_path / "in" / "events.parquet"), rows), str(tmp_path / "sent"), str(tmp_path / "check2"), "event_id")
     assert spark.read.parquet(str(tmp_path / "sent")).count() == 5
+
+
+def test_definition_as_json(spark):
+    import json
+
+    one = lambda n: lanes.Stage(n, lambda d: d)
+    got = json.loads(lanes.graph_json(one("a") + [one("b"), one("c")] + one("d"), spark).first().json)
+    assert got["nodes"] == ["a", "b", "c", "d"] and {"from": "c", "to": "d"} in got["edges"] and len(got["edges"]) == 4
+
+
+def test_new_records_replace_old_ones(spark):
+    nodes, edges = spark.createDataFrame([(n,) for n in "abcd"], "node string"), spark.createDataFrame(EDGES, "src string, dst string")
+    new_nodes, new_edges = lineage.added(nodes, edges, spark.createDataFrame([("d",), ("e",)], "node string"), spark.createDataFrame([("b", "d"), ("d", "e")], "src string, dst string"))
+    assert {r.node for r in lineage.leaves(new_nodes, new_edges).collect()} == {"c", "e"}
+
+
+def test_branch_ancestry_and_siblings(spark):
+    made = spark.createDataFrame([("s", ["x"], "p1"), ("s", ["x", "y"], "p2"), ("s", ["x", "z"], "p3"), ("s", ["q"], "p4")], "stage string, branch_path array<string>, path string")
+    asked = spark.createDataFrame([(1, "s", ["x", "y"])], "request_id int, stage string, branch_path array<string>")
+    assert {r.path for r in resolve.from_stages(made, asked).collect()} == {"p1", "p2"}
+    assert {r.path for r in resolve.siblings(made, asked).collect()} == {"p2", "p3"}
