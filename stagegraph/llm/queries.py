@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_suffix_dedup": suffix_dedup.OP4_SQL,
+    "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op7_topk_search": topk_search.OP7_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }

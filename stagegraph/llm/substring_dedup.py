@@ -148,3 +148,19 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield record({"doc_id": batch.column("doc_id"), "n_words": batch.column("n_words"), "n_removed": batch.column("n_removed"), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in utf8(batch.column("text").to_pylist())]}, target)
 
     return done.mapInArrow(digest, shape)
+
+
+OP5_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+placed AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM words),
+keyed AS (
+  SELECT doc_id, i, n, md5_number(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)) AS k FROM placed),
+again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM keyed WHERE i <= n - 19) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, i + unnest(generate_series(0, 19)) AS i FROM again),
+judged AS (SELECT placed.*, gone.i IS NOT NULL AS off FROM placed LEFT JOIN gone ON placed.doc_id = gone.doc_id AND placed.i = gone.i)
+SELECT d.doc_id, count(word) AS n_words, count(*) FILTER (WHERE off) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT off), '')) AS kept_sha256
+FROM documents d LEFT JOIN judged ON judged.doc_id = d.doc_id GROUP BY d.doc_id
+"""

@@ -126,3 +126,25 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield record({"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "n_removed": batch.column("n_removed"), "n_spans": [len(x) for x in batch.column("spans").to_pylist()], "kept_sha256": [hashlib.sha256(x).hexdigest() for x in batch.column("text").to_pylist()]}, target)
 
     return done.mapInArrow(digest, shape)
+
+
+OP4_SQL = r"""
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+placed AS (SELECT doc_id, n, unnest(regexp_extract_all(h, '..')) AS b, unnest(generate_series(1, n)) AS i FROM bytes),
+tens AS (SELECT doc_id, n, i, string_agg(b, '') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS t FROM placed),
+keyed AS (
+  SELECT doc_id, i, n, md5_number(t || lead(t, 10) OVER w || lead(t, 20) OVER w || lead(t, 30) OVER w || lead(t, 40) OVER w || lead(t, 50) OVER w || lead(t, 60) OVER w || lead(t, 70) OVER w || lead(t, 80) OVER w || lead(t, 90) OVER w) AS k
+  FROM tens WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM keyed WHERE i <= n - 99) WHERE r > 1),
+runs AS (
+  SELECT doc_id, i AS lo, i + 100 AS hi,
+         CASE WHEN i <= max(i + 100) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM again),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY lo) AS run FROM runs),
+spans AS (SELECT doc_id, run, min(lo) AS lo, max(hi) AS hi FROM numbered GROUP BY doc_id, run),
+kept AS (
+  SELECT doc_id, lo, hi, lag(hi, 1, 1) OVER (PARTITION BY doc_id ORDER BY lo) AS since FROM (
+    SELECT doc_id, lo, hi FROM spans UNION ALL SELECT doc_id, n + 1, n + 1 FROM bytes))
+SELECT b.doc_id, any_value(b.n) AS n_bytes, CAST(sum(k.hi - k.lo) AS BIGINT) AS n_removed, count(*) FILTER (WHERE k.hi > k.lo) AS n_spans,
+       sha256(unhex(string_agg(substr(b.h, 2 * k.since - 1, 2 * (k.lo - k.since)), '' ORDER BY k.lo, k.hi))) AS kept_sha256
+FROM bytes b JOIN kept k ON k.doc_id = b.doc_id GROUP BY b.doc_id
+"""

@@ -5,6 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 from cases import frame, rows
+from oracle import assert_matches
 
 from stagegraph.llm import repeats, substring_dedup, suffix_dedup
 
@@ -58,6 +59,11 @@ def test_queries_digest_what_is_kept(spark, sf_dir):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (d.n_bytes, d.n_removed, len(d.spans), hashlib.sha256(bytes(d.text)).hexdigest())
 
 
+def test_queries_match_sql(spark, sf_dir):
+    assert_matches(suffix_dedup.op4_suffix_dedup, suffix_dedup.OP4_SQL, spark, sf_dir)
+    assert_matches(substring_dedup.op5_substring_dedup, substring_dedup.OP5_SQL, spark, sf_dir)
+
+
 def test_empty_tables(spark):
     assert suffix_dedup.drop_repeats(frame(spark, [])).collect() == []
     assert substring_dedup.drop_repeats(frame(spark, [])).collect() == []
