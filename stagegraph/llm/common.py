@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,16 +41,12 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def by_batch(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str, *args) -> DataFrame:
-    """mapInArrow with whole columns: fn gets each batch as a dict of lists, and yields dicts of columns in the order of ``schema``."""
-    target = _arrow(df.sparkSession, schema)
-
-    def run(batches):
-        for batch in batches:
-            for out in fn(batch.to_pydict(), *args):
-                yield record(out, target)
-
-    return df.mapInArrow(run, schema)
+def pieces(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``most`` bytes, so that a task holds few of its texts as Python objects at a time."""
+    for batch in batches:
+        step = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
 
 
 def record(columns: dict, schema: pa.Schema) -> pa.RecordBatch:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagegraph.llm.common import arrow_schema, record, table, utf8, written
+from stagegraph.llm.common import arrow_schema, pieces, record, table, utf8, written
 from stagegraph.llm.components import components
 
 CAPACITY = 1 << 14  # fingerprints of a shard
@@ -34,34 +34,55 @@ SAMPLE = 1 << 16  # fingerprints that the tree is fitted on, at most
 WORK = 1 << 34  # comparisons of a task before pruning
 BLOCK = 1 << 20
 HALF_CHUNK = 1 << 15
+SLOTS = 128
+MULTIPLIERS = np.random.default_rng(11).integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def simhash(text: bytes, k: int = 4, seed: int = 42) -> int:
+def shingle_hashes(text: bytes, k: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of the word shingles, repeats included; of the whole sequence if it is shorter."""
     words = text.lower().split()  # ASCII: A-Z and the six blanks
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(k, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+
+
+def simhash(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), HALF_CHUNK):
         ones += np.unpackbits(hashes[i : i + HALF_CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
-    """(doc_id, fp long) of each row; fp holds the 64 bits as a signed long."""
-    target = arrow_schema(docs.sparkSession, "doc_id long, fp long")
+def sketch(hashes: np.ndarray) -> bytes:
+    """The low byte of the least shingle under each of SLOTS multipliers: the share of equal bytes estimates the Jaccard similarity."""
+    least = np.full(SLOTS, ~np.uint64(0))
+    for i in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[i : i + 1024, None] * MULTIPLIERS[None, :]).min(axis=0), out=least)
+    return (least & np.uint64(0xFF)).astype(np.uint8).tobytes()
+
+
+def fingerprints(docs: DataFrame, k: int = 4, sketches: bool = False) -> DataFrame:
+    """(doc_id, fp long, sketch binary) of each row; fp holds the 64 bits as a signed long, sketch is empty unless asked for."""
+    shape = "doc_id long, fp long, sketch binary"
+    target = arrow_schema(docs.sparkSession, shape)
 
     def run(batches):
-        for batch in batches:
-            prints = np.array([simhash(t, k) for t in utf8(batch.column("text").to_pylist())], dtype=np.uint64)
-            yield record({"doc_id": batch.column("doc_id"), "fp": prints.view(np.int64)}, target)
+        for batch in pieces(batches):
+            prints, made = [], []
+            for t in utf8(batch.column("text").to_pylist()):
+                hashes = shingle_hashes(t, k)
+                prints.append(simhash(hashes))
+                made.append(sketch(hashes) if sketches else b"")
+            yield record({"doc_id": batch.column("doc_id"), "fp": np.array(prints, dtype=np.uint64).view(np.int64), "sketch": made}, target)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, shape)
 
 
 def distance(a, b) -> np.ndarray:
@@ -139,8 +160,9 @@ class Forest:
         return self.parent
 
 
-def link(codes: np.ndarray, points: np.ndarray, queries: np.ndarray, bits: int, forest: Forest, level: int = 0) -> None:
-    """Add to ``forest`` the links of at most ``bits`` between two index arrays into ``codes``."""
+def link(codes: np.ndarray, points: np.ndarray, queries: np.ndarray, bits: int, forest: Forest, level: int = 0, sketches: np.ndarray | None = None, least: int = 0) -> None:
+    """Add to ``forest`` the links of at most ``bits`` between two index arrays into ``codes``; with ``sketches``, those that agree in
+    ``least`` slots too."""
     if not len(points) or not len(queries):
         return
     if len(points) * len(queries) > BLOCK and level < 4:
@@ -152,22 +174,33 @@ def link(codes: np.ndarray, points: np.ndarray, queries: np.ndarray, bits: int,
         lows, highs = np.searchsorted(far_q, rings - bits), np.searchsorted(far_q, rings + bits, side="right")
         if len(rings) > 1:
             for a, b, lo, hi in zip(starts, [*starts[1:], len(points)], lows, highs, strict=True):
-                link(codes, points[a:b], queries[lo:hi], bits, forest, level + 1)
+                link(codes, points[a:b], queries[lo:hi], bits, forest, level + 1, sketches, least)
             return
     step = max(1, BLOCK // len(points))
     mine = codes[points]
     for i in range(0, len(queries), step):
         some = queries[i : i + step]
         x, y = np.nonzero(np.bitwise_count(codes[some][:, None] ^ mine[None, :]) <= bits)
-        apart = some[x] != points[y]
-        forest.add(some[x[apart]], points[y[apart]])
-
-
-ROUTED = "leaf int, salt int, fp long, home boolean"
-
-
-def links(points: DataFrame, bits: int = 4, capacity: int = CAPACITY, sample: int = SAMPLE, work: int = WORK) -> DataFrame:
-    """(a, b): edges that connect the ``fp`` values of ``points`` (distinct longs) which differ in at most ``bits`` bits."""
+        x, y = some[x], points[y]
+        if sketches is None:
+            apart = x != y
+            forest.add(x[apart], y[apart])
+            continue
+        for j in range(0, len(x), 1 << 15):
+            a, b = x[j : j + (1 << 15)], y[j : j + (1 << 15)]
+            apart = forest.parent[a] != forest.parent[b]  # what is joined already needs no look
+            a, b = a[apart], b[apart]
+            same = (sketches[a] == sketches[b]).sum(axis=1) >= least
+            forest.add(a[same], b[same])
+            forest.settle()
+
+
+ROUTED = "leaf int, salt int, node long, fp long, sketch binary, home boolean"
+
+
+def links(points: DataFrame, bits: int = 4, similarity: float | None = None, capacity: int = CAPACITY, sample: int = SAMPLE, work: int = WORK) -> DataFrame:
+    """(a, b): edges that connect the nodes of ``points(node, fp, sketch)`` whose fingerprints differ in at most ``bits`` bits and, if
+    ``similarity`` is given, whose sketches agree in that share of slots."""
     spark = points.sparkSession
     depth = int(np.clip(np.ceil(np.log2(max(1, points.count()) / capacity)), 0, 16))
     seen = points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(min(sample, 128 << depth)).collect()
@@ -178,11 +211,11 @@ def links(points: DataFrame, bits: int = 4, capacity: int = CAPACITY, sample: in
         home = tree.home(codes)
         at, leaf = tree.visits(codes, bits)
         at, leaf = at[keep := leaf >= home[at]], leaf[keep]  # a pair is met from the side of the lesser leaf
-        return codes[at], leaf, leaf == home[at]
+        return at, codes[at], leaf, leaf == home[at]
 
     def loads(batches):
         for batch in batches:
-            _, leaf, home = routed(batch)
+            _, _, leaf, home = routed(batch)
             found, place = np.unique(leaf, return_inverse=True)
             yield record({"leaf": found, "own": np.bincount(place, weights=home).astype(np.int64), "all": np.bincount(place)}, shape)
 
@@ -196,7 +229,7 @@ def links(points: DataFrame, bits: int = 4, capacity: int = CAPACITY, sample: in
 
     def deal(batches):
         for batch in batches:
-            codes, leaf, home = routed(batch)
+            at, codes, leaf, home = routed(batch)
             n = salting.value[leaf]
             salt = ((codes ^ (codes >> np.uint64(29))) % n.astype(np.uint64)).astype(np.int64)
             copies = np.where(home, n, 1)
@@ -204,7 +237,8 @@ def links(points: DataFrame, bits: int = 4, capacity: int = CAPACITY, sample: in
             of = np.arange(len(every)) - np.repeat(np.cumsum(copies) - copies, copies)
             own = home[every]
             turn = np.where(own, of, salt[every])
-            yield record({"leaf": leaf[every], "salt": turn, "fp": codes[every].view(np.int64), "home": own}, target)
+            row = at[every]
+            yield record({"leaf": leaf[every], "salt": turn, "node": batch.column("node").take(pa.array(row)), "fp": codes[every].view(np.int64), "sketch": batch.column("sketch").take(pa.array(row)), "home": own}, target)
 
     edge = arrow_schema(spark, "a long, b long")
 
@@ -212,28 +246,32 @@ def links(points: DataFrame, bits: int = 4, capacity: int = CAPACITY, sample: in
         codes, home, turn = t.column("fp").to_numpy().view(np.uint64), t.column("home").to_numpy(zero_copy_only=False), t.column("salt")[0].as_py()
         leaf = t.column("leaf")[0].as_py()
         n = int(salting.value[leaf])
-        order = np.argsort(codes, kind="stable")  # results don't depend on how rows arrive
-        codes, home = codes[order], home[order]
+        node = t.column("node").to_numpy()
+        order = np.lexsort((node, codes))  # results don't depend on how rows arrive
+        codes, home, node = codes[order], home[order], node[order]
+        sketches = None if similarity is None else np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(codes), SLOTS)[order]
         mine = ((codes ^ (codes >> np.uint64(29))) % np.uint64(n)).astype(np.int64) == turn
         forest = Forest(len(codes))
-        link(codes, np.flatnonzero(home), np.flatnonzero(mine | ~home), bits, forest)
+        link(codes, np.flatnonzero(home), np.flatnonzero(mine | ~home), bits, forest, 0, sketches, int(np.ceil((similarity or 0) * SLOTS)))
         parent = forest.settle()
         tied = np.flatnonzero(parent != np.arange(len(parent)))
-        return pa.Table.from_batches([record({"a": codes[tied].view(np.int64), "b": codes[parent[tied]].view(np.int64)}, edge)])
+        return pa.Table.from_batches([record({"a": node[tied], "b": node[parent[tied]]}, edge)])
 
-    return points.select("fp").mapInArrow(deal, ROUTED).groupBy("leaf", "salt").applyInArrow(shard, "a long, b long")
+    return points.select("node", "fp", "sketch").mapInArrow(deal, ROUTED).groupBy("leaf", "salt").applyInArrow(shard, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, bits: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) of each row of docs."""
-    prints = written(fingerprints(docs, k))
-    points = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
-    stars = components(links(points, bits))
-    tied = stars.join(points, stars["node"] == points["fp"]).select("node", "root", "first_doc")
+def near_duplicates(docs: DataFrame, k: int = 4, bits: int = 4, similarity: float | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) of each row of docs. With ``similarity``, links within ``bits`` also need that estimated Jaccard
+    similarity of their shingle sets (from SLOTS minima: its standard error at 0.8 is 0.035)."""
+    node = F.col("fp") if similarity is None else F.xxhash64("fp", "sketch")
+    prints = written(fingerprints(docs, k, similarity is not None).withColumn("node", node))
+    points = written(prints.groupBy("node", "fp", "sketch").agg(F.min("doc_id").alias("first_doc")))
+    stars = components(links(points, bits, similarity))
+    tied = stars.join(points.select(F.col("node"), "first_doc"), "node")
     least = tied.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    linked = tied.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    every = points.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"))
-    return prints.join(every, "fp").select("doc_id", "fp", "component_id")
+    linked = tied.join(least, "root").select("node", "component_id")
+    every = points.select("node", "first_doc").join(linked, "node", "left").select("node", F.coalesce("component_id", "first_doc").alias("component_id"))
+    return prints.join(every, "node").select("doc_id", "fp", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

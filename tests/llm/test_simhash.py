@@ -52,7 +52,7 @@ def test_deep_salted_tree_finds_every_link(spark):
     near = base[:150] ^ (np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64))
     ball = base[0] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))  # a dense group
     codes = np.unique(np.concatenate((base, near, ball)))
-    points = spark.createDataFrame([(int(x),) for x in codes.view(np.int64)], "fp long")
+    points = spark.createDataFrame([(int(x),) for x in codes.view(np.int64)], "fp long").selectExpr("fp AS node", "fp", "binary('') AS sketch")
     stars = components(simhash.links(points, 4, capacity=16, work=1 << 8)).collect()
     root = {r.node: r.root for r in stars}
     groups = brute_groups([int(c) for c in codes])
@@ -67,3 +67,16 @@ def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
+
+
+def test_similar_texts_by_sketches(spark):
+    import random
+
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(200)] for _ in range(40)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for i, w in enumerate(base[:30]):  # one changed word: similarity 0.95; a third changed: far below
+        docs.append((100 + i, " ".join([*w[:100], "changed", *w[101:]])))
+        docs.append((200 + i, " ".join([f"x{j}" if j % 3 == 0 else x for j, x in enumerate(w)])))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 5, 18, 0.77).collect()}
+    assert got == {d: d % 100 if 100 <= d < 200 else d for d, _ in docs}
