@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from stagegraph.llm.common import arrow_schema, doc_key, partitions, record, table, written
+from stagegraph.llm.common import arrow_schema, doc_key, partitions, pieces, record, table, written
 from stagegraph.llm.tokens import mix
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -121,7 +121,7 @@ def keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     target = arrow_schema(docs.sparkSession, "doc long, key binary")
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             ids, keys = [], []
             for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = {k for x in (text or "").split("\n") if len(x) >= min_chars and len(k := line_key(x)) >= min_chars}
@@ -205,12 +205,12 @@ def drop_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, shards:
     heavy = written(counts.where(F.col("n_docs") >= min_docs))
     filters = build_filters(heavy)
     lines = keyed_lines(docs, min_chars).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    drops = _screen(lines, filters, partitions(docs)).join(heavy.select("key", "top_doc"), "key").where(F.col("doc") != F.col("top_doc"))
+    drops = _screen(lines, filters, _salts(heavy, partitions(docs)), partitions(docs)).join(heavy.select("key", "top_doc"), "key").where(F.col("doc") != F.col("top_doc"))
     per_doc = drops.groupBy("doc").agg(F.collect_set("key").alias("keys"))
     fresh = arrow_schema(docs.sparkSession, "text string, n_lines long, n_dropped long")
 
     def rebuild(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             out = {f.name: [] for f in fresh}
             for text, keys in zip(batch.column("text").to_pylist(), batch.column(KEYS).to_pylist(), strict=True):
                 lines, gone = (text or "").split("\n"), set(keys or ())
@@ -227,17 +227,28 @@ def drop_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, shards:
     return keyed.join(gone, DOC, "left").select(*carried, "text", KEYS).mapInArrow(rebuild, shape)
 
 
-def _screen(lines: DataFrame, filters: DataFrame, n: int) -> DataFrame:
-    """The lines (doc, key) that their shard's filter may hold. A shard's filter meets its lines in one partition, as a row that sorts
-    before them; lines stream past it, so a very frequent key costs no memory."""
-    shape = "shard int, blob binary, doc long, key binary"
-    rows = filters.select("shard", "blob", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("binary").alias("key")).unionByName(lines.select("shard", F.lit(None).cast("binary").alias("blob"), "doc", "key"))
+def _salts(heavy: DataFrame, n: int) -> DataFrame:
+    """(shard, salts): into how many parts a shard's lines are dealt, so that the lines of a very frequent key are many tasks' work. A part
+    gets four times the mean at most."""
+    loads = heavy.groupBy("shard").agg(F.sum("n_docs").alias("load"))
+    total = loads.agg(F.coalesce(F.sum("load"), F.lit(0)).alias("n")).first().n
+    return loads.select("shard", F.ceil(F.col("load") / max(1024, 4 * total // n)).cast("int").alias("salts"))
+
+
+def _screen(lines: DataFrame, filters: DataFrame, salts: DataFrame, n: int) -> DataFrame:
+    """The lines (doc, key) that their shard's filter may hold. A shard's filter meets its lines in one partition for each salt, as a row
+    that sorts before them; lines stream past it, so a very frequent key costs no memory. A shard without a filter has no heavy keys."""
+    shape = "shard int, salt int, blob binary, doc long, key binary"
+    salts = F.broadcast(salts)  # a row a shard at most, as many as shuffle partitions
+    held = filters.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "blob", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("binary").alias("key"))
+    asked = lines.join(salts, "shard").select("shard", F.pmod(F.xxhash64("doc"), "salts").cast("int").alias("salt"), F.lit(None).cast("binary").alias("blob"), "doc", "key")
+    rows = held.unionByName(asked)
     target = arrow_schema(lines.sparkSession, "doc long, key binary")
 
     def probe(batches):
         shard, now = None, None
         for batch in batches:
-            shards, keys = np.asarray(batch.column("shard")), batch.column("key")
+            shards, keys = (np.asarray(batch.column("shard")).astype(np.int64) << 32) | np.asarray(batch.column("salt")), batch.column("key")
             edges = np.flatnonzero(np.diff(shards)) + 1
             for a, b in zip([0, *edges], [*edges, len(shards)], strict=True):
                 if a == b:
@@ -251,7 +262,7 @@ def _screen(lines: DataFrame, filters: DataFrame, n: int) -> DataFrame:
                     seen = now.has(_hashes(keys.slice(int(a), int(b - a)).to_pylist()))
                     yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("key")], schema=target).filter(pa.array(seen))
 
-    return rows.repartition(n, "shard").sortWithinPartitions("shard", F.col("blob").isNull()).select(*(c.split()[0] for c in shape.split(", "))).mapInArrow(probe, "doc long, key binary")
+    return rows.repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("blob").isNull()).select(*(c.split()[0] for c in shape.split(", "))).mapInArrow(probe, "doc long, key binary")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
