@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from stagegraph.llm.anchors import owned_runs
 from stagegraph.llm.bpe import pack, unpack
-from stagegraph.llm.common import arrow_schema, partitions, record, utf8, written
+from stagegraph.llm.common import arrow_schema, partitions, pieces, record, utf8, written
 from stagegraph.llm.tokens import blocks, mix, span_hashes
 
 HOT = 2048  # different runs of one anchor
@@ -59,7 +59,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def _runs(batches, windows: Windows) -> Iterator[tuple[np.ndarray, ...]]:
     """(doc, anchor, text hash, first window, windows) of the runs of about HELD runs at a time."""
     held, size = [], 0
-    for batch in batches:
+    for batch in pieces(batches):
         keys, texts = batch.column("key").to_numpy(), utf8(batch.column("text").to_pylist())
         for at, some in blocks(texts, 1 << 19):
             values, bounds = windows.tokens(some)
@@ -99,25 +99,30 @@ def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
 
 def found(docs: DataFrame, windows: Windows) -> DataFrame:
     """FOUND rows: removed spans of whole runs, and the runs to ask for."""
-    spark, width, n = docs.sparkSession, windows.width, partitions(docs)
+    return _folded(docs.select("key", "text"), lambda batches: _runs(batches, windows), windows.width)
+
+
+def _folded(rows: DataFrame, runs_of: Callable, width: int) -> DataFrame:
+    """FOUND rows of the runs that ``runs_of`` yields from batches of rows, by two folds: in each task, and in each bucket of anchors."""
+    spark, n = rows.sparkSession, partitions(rows)
     buckets = 4 * n
     piece, target = arrow_schema(spark, "bucket int, local boolean, data binary"), arrow_schema(spark, FOUND)
 
     def dealt(batches):
         task = TaskContext.get().partitionId()
-        for runs in _runs(batches, windows):
+        for runs in runs_of(batches):
             (doc, anchor, text, first, count), new = _fold(*runs)
             again = _merged(doc[~new], first[~new], (first + count + width - 1)[~new])
-            rows = [(task % buckets, True, pack([again[0].view(np.uint64), again[1].astype(np.uint32), again[2].astype(np.uint32)]))] if len(again[0]) else []
+            packed = [(task % buckets, True, pack([again[0].view(np.uint64), again[1].astype(np.uint32), again[2].astype(np.uint32)]))] if len(again[0]) else []
             doc, anchor, text, first, count = (x[new] for x in (doc, anchor, text, first, count))
             bucket = (mix(anchor) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.unique(bucket):
                 at = order[edges[b] : edges[b + 1]]
-                rows.append((int(b), False, pack([anchor[at], text[at], doc[at].view(np.uint64), first[at].astype(np.uint32), count[at].astype(np.uint32)])))
-            for i in range(0, len(rows), 64):
-                yield record(dict(zip(("bucket", "local", "data"), zip(*rows[i : i + 64], strict=True), strict=True)), piece)
+                packed.append((int(b), False, pack([anchor[at], text[at], doc[at].view(np.uint64), first[at].astype(np.uint32), count[at].astype(np.uint32)])))
+            for i in range(0, len(packed), 64):
+                yield record(dict(zip(("bucket", "local", "data"), zip(*packed[i : i + 64], strict=True), strict=True)), piece)
 
     def out(doc, lo, hi, anchor, ask):
         for i in range(0, len(doc), 1 << 16):
@@ -150,21 +155,26 @@ def found(docs: DataFrame, windows: Windows) -> DataFrame:
         if blobs:
             yield from bucket_rows(blobs)
 
-    sent = docs.select("key", "text").mapInArrow(dealt, "bucket int, local boolean, data binary")
+    sent = rows.mapInArrow(dealt, "bucket int, local boolean, data binary")
     return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(folded, FOUND)
 
 
+def _with_asked(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(key, text, lo array, hi array, anchor array) of the documents that have asked runs."""
+    by_doc = asked.groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"), F.collect_list("anchor").alias("anchor"))
+    return docs.join(by_doc.hint("shuffle_hash"), docs["key"] == by_doc["doc"]).select("key", "text", "lo", "hi", "anchor")
+
+
 def _slices(docs: DataFrame, asked: DataFrame, emit, schema: str) -> DataFrame:
     """``emit(key, values, lo, hi, anchor)`` on the tokens of each document that has asked runs; yields columns of ``schema``."""
     target = arrow_schema(docs.sparkSession, schema)
-    by_doc = asked.groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"), F.collect_list("anchor").alias("anchor"))
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             for key, text, lo, hi, anchor in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "lo", "hi", "anchor")), strict=True):
                 yield from (record(x, target) for x in emit(key, text, lo, hi, anchor))
 
-    return docs.join(by_doc.hint("shuffle_hash"), docs["key"] == by_doc["doc"]).select("key", "text", "lo", "hi", "anchor").mapInArrow(run, schema)
+    return _with_asked(docs, asked).mapInArrow(run, schema)
 
 
 PIECES = "shard int, doc long, lo long, data binary"
@@ -198,19 +208,24 @@ def matched(docs: DataFrame, asked: DataFrame, windows: Windows) -> DataFrame:
 
 
 def cut_windows(docs: DataFrame, asked: DataFrame, windows: Windows) -> DataFrame:
-    """(doc, lo, hi): the same for the runs of hot anchors, window by window; Spark can split both the sum and the join."""
+    """(doc, lo, hi): the same for the runs of hot anchors: each window is a run of its own, which equal ones fold into."""
     width = windows.width
 
-    def emit(key, text, lo, hi, anchor):
-        values, _ = windows.tokens(utf8([text]))
-        at = np.concatenate([np.arange(a, b - width + 1) for a, b in zip(lo, hi, strict=True)])
-        one = span_hashes(values, at, at + width)
-        yield {"one": one.view(np.int64), "two": span_hashes(mix(values.astype(np.uint64)), at, at + width).view(np.int64), "doc": np.full(len(at), key), "lo": at}
-
-    rows = written(_slices(docs, asked.where(F.col("ask") == CUT), emit, "one long, two long, doc long, lo long"))
-    first = rows.groupBy("one", "two").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = rows.join(first, ["one", "two"]).where(F.struct("doc", "lo") != F.col("first"))
-    return later.select("doc", "lo", (F.col("lo") + width).alias("hi"))
+    def runs(batches):
+        held, size = [], 0
+        for batch in pieces(batches):
+            for key, text, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "lo", "hi")), strict=True):
+                values, _ = windows.tokens(utf8([text]))
+                at = np.concatenate([np.arange(a, b - width + 1) for a, b in zip(lo, hi, strict=True)])
+                held.append((np.full(len(at), key), span_hashes(values, at, at + width), span_hashes(mix(values.astype(np.uint64)), at, at + width), at, np.ones(len(at), dtype=np.int64)))
+                size += len(at)
+                if size > HELD:
+                    yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                    held, size = [], 0
+        if size:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+    return _folded(_with_asked(docs, asked.where(F.col("ask") == CUT)), runs, width).where(F.col("ask") == SPAN).select("doc", "lo", "hi")
 
 
 def removed(docs: DataFrame, windows: Windows) -> DataFrame:
