@@ -72,12 +72,13 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     keys = F.array(*[F.shiftrightunsigned("code", BITS * s).bitwiseAND(F.lit(0xFFFF)).cast("int").bitwiseOR(F.lit(s << BITS)) for s in range(SEGMENTS)])
     index = written(entries.select(F.explode(keys).alias("key"), "code", "ids"))
     active = written(queries.select(F.col("code").alias("query")).distinct().withColumn("bound", F.lit(SEGMENTS * BITS)))
-    done, best, radii = [], None, [0, 1, 2]
+    done, best, radii = [], None, [0, 1]  # few probes first: what they find bounds the later, larger rounds
     while True:
         asked = probes(active, radii)
         distance = F.bit_count(asked["query"].bitwiseXOR(index["code"]))
         met = asked.join(index.hint("shuffle_hash"), (asked["key"] == index["key"]) & (distance <= asked["bound"])).select("query", distance.alias("distance"), "ids").distinct()
-        found = met.select("query", "distance", F.explode("ids").alias("vec_id"))
+        near = F.row_number().over(Window.partitionBy("query").orderBy("distance", F.get("ids", 0)))  # the k best ids are of the k best codes
+        found = met.withColumn("near", near).where(F.col("near") <= k).select("query", "distance", F.explode("ids").alias("vec_id"))
         if best is not None:
             found = found.unionByName(best).distinct()
         ranked = written(_best(found, k))
