@@ -28,7 +28,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from stagegraph.llm.common import arrow_schema, partitions, table
+from stagegraph.llm.common import arrow_schema, partitions, pieces, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -55,7 +55,7 @@ def _chunks(batches, pattern: str, chunk_words: int):
 
     ids, codes, lengths, words = fresh()
     held = 0
-    for batch in batches:
+    for batch in pieces(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = find(text or "")
             codes.append(np.fromiter(map(words.__getitem__, found), dtype=np.uint32, count=len(found)))
@@ -200,7 +200,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         of = tokens.value
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [b"".join([of[i] for i in ids]) for ids in _lists(batch.column("ids"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.binary())], schema=target)
 
@@ -222,7 +222,7 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
         of = tokens.value
         decimal = [b"%d" % i for i in range(len(of))]
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in batches:
+        for batch in pieces(batches):
             lists = _lists(batch.column("ids"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array([len(x) for x in lists], pa.int64()), pa.array([sha(b",".join([decimal[i] for i in x])) for x in lists]), pa.array([sha(b"".join([of[i] for i in x])) for x in lists])], schema=target)
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagegraph.llm.common import arrow_schema, record, table, utf8
+from stagegraph.llm.common import arrow_schema, pieces, record, table, utf8
 from stagegraph.llm.tokens import blocks, span_hashes
 
 WIDTH = 8
@@ -123,7 +123,7 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def run(batches):
         canon = Canon()
-        for batch in batches:
+        for batch in pieces(batches):
             out = {f.name: [] for f in target}
             for item, text in zip(batch.column("item_id").to_pylist(), utf8(batch.column("text").to_pylist()), strict=True):
                 values, slot, number, bounds = canon.templates([text])
@@ -158,7 +158,7 @@ def doc_windows(docs: DataFrame, widths: list[int], words: np.ndarray) -> DataFr
 
     def run(batches):
         canon, has = Canon(), shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             ids, texts = batch.column("doc_id").to_pylist(), utf8(batch.column("text").to_pylist())
             for first, some in blocks(texts, 1 << 19):
                 values, slot, number, bounds = canon.templates(some)

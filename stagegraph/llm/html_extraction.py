@@ -19,7 +19,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagegraph.llm.common import arrow_schema, record, table
+from stagegraph.llm.common import arrow_schema, pieces, record, table
 
 # Element names of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -260,7 +260,7 @@ def extract(pages: DataFrame) -> DataFrame:
     target = arrow_schema(pages.sparkSession, shape)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [main_text(x) for x in batch.column("html").to_pylist()]
             yield record({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": texts, "n_chars": [len(x) for x in texts]}, target)
 

@@ -16,7 +16,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from stagegraph.llm.common import arrow_schema, record, table, utf8
+from stagegraph.llm.common import arrow_schema, pieces, record, table, utf8
 from stagegraph.llm.repeats import Windows, gone, joined, keyed, ordered_suffixes, per_text, removed
 from stagegraph.llm.tokens import span_hashes, word_spans
 
@@ -125,7 +125,7 @@ def drop_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     target = arrow_schema(docs.sparkSession, DONE)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             out = {f.name: [] for f in target}
             texts = utf8(batch.column("text").to_pylist())
             for doc, text, lo, hi in zip(batch.column("doc_id").to_pylist(), texts, batch.column("lo").to_pylist(), batch.column("hi").to_pylist(), strict=True):
@@ -144,7 +144,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = arrow_schema(spark, shape)
 
     def digest(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             yield record({"doc_id": batch.column("doc_id"), "n_words": batch.column("n_words"), "n_removed": batch.column("n_removed"), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in utf8(batch.column("text").to_pylist())]}, target)
 
     return done.mapInArrow(digest, shape)

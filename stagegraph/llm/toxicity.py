@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagegraph.llm.common import arrow_schema, record, table
+from stagegraph.llm.common import arrow_schema, pieces, record, table
 
 MOST = 20_000
 CHI, SUPPORT = 30.0, 3
@@ -102,7 +102,7 @@ def chosen_words(sample: DataFrame, chi: float = CHI, support: int = SUPPORT) ->
     target = arrow_schema(sample.sparkSession, "word string, toxic long, clean long")
 
     def count(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             seen = [Counter(), Counter()]
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 seen[toxic <= 0].update(set(words(text)))
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST) -> OrdinalModel:
     target = arrow_schema(docs.sparkSession, shape)
 
     def sparse(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [blank.features(x) for x in batch.column("text").to_pylist()]
             yield record({"toxic": batch.column("toxic"), "at": [i for i, _ in rows], "value": [v for _, v in rows]}, target)
 
@@ -149,7 +149,7 @@ def severity(docs: DataFrame, model: OrdinalModel, reject: float = 0.5) -> DataF
 
     def score(batches):
         model = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             above = model.above([model.features(x) for x in batch.column("text").to_pylist()])
             each = -np.diff(np.column_stack((np.ones(len(above)), above, np.zeros(len(above)))), axis=1)
             yield record({"doc_id": batch.column("doc_id"), "expected_severity": above.sum(axis=1).round(9), "grade": each.argmax(axis=1), "toxic": above[:, 0] >= reject}, target)
@@ -163,7 +163,7 @@ def accepted(docs: DataFrame, model: OrdinalModel, reject: float = 0.5) -> DataF
 
     def keep(batches):
         model = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             above = model.above([model.features(x) for x in batch.column("text").to_pylist()])
             yield batch.filter(pa.array(above[:, 0] < reject))
 

@@ -31,7 +31,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagegraph.llm.common import arrow_schema, record, table
+from stagegraph.llm.common import arrow_schema, pieces, record, table
 
 RECORD = "record_id string, warc_type string, refers_to string, target_uri string, warc_date string, headers array<struct<name:string,value:string>>, block binary"
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:stagegraph:warc")
@@ -73,7 +73,7 @@ def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame
     target = arrow_schema(pages.sparkSession, RECORD)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
                 body = (page or "").encode("utf-8", "surrogatepass")
@@ -113,7 +113,7 @@ def derive(records: DataFrame) -> DataFrame:
     target = arrow_schema(records.sparkSession, RECORD)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for own, uri, date, headers, block in zip(*(batch.column(c).to_pylist() for c in ("record_id", "target_uri", "warc_date", "headers", "block")), strict=True):
                 rows += _derived(own or "", uri or "", date or "", {x["name"]: x["value"] for x in headers or ()}, block or b"")
@@ -134,7 +134,7 @@ def to_bytes(records: DataFrame, compress: bool = True) -> DataFrame:
     target = arrow_schema(records.sparkSession, shape)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [wire(own, kind, uri, date, [(h["name"], h["value"]) for h in headers or ()], block or b"") for own, kind, uri, date, headers, block in zip(*(batch.column(c).to_pylist() for c in ("record_id", "warc_type", "target_uri", "warc_date", "headers", "block")), strict=True)]
             yield record({"record_id": batch.column("record_id"), "data": [gzip.compress(x, 6, mtime=0) for x in rows] if compress else rows}, target)
 
@@ -174,7 +174,7 @@ def parse_records(files: DataFrame) -> DataFrame:
     own_names = ("warc-type", "warc-record-id", "warc-target-uri", "warc-date")
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             for data in batch.column("content").to_pylist():
                 rows = []
                 for fields, block in parse(data or b""):
