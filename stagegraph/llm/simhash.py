@@ -32,6 +32,7 @@ from stagegraph.llm.components import components
 CAPACITY = 1 << 14  # fingerprints of a shard
 SAMPLE = 1 << 16  # fingerprints that the tree is fitted on, at most
 WORK = 1 << 34  # comparisons of a task before pruning
+WIDE = {"capacity": 1 << 16, "work": 1 << 33}  # for links so wide that the tree hardly prunes: larger shards, fewer copies
 BLOCK = 1 << 20
 HALF_CHUNK = 1 << 15
 SLOTS = 128
@@ -266,7 +267,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, bits: int = 4, similarity: floa
     node = F.col("fp") if similarity is None else F.xxhash64("fp", "sketch")
     prints = written(fingerprints(docs, k, similarity is not None).withColumn("node", node))
     points = written(prints.groupBy("node", "fp", "sketch").agg(F.min("doc_id").alias("first_doc")))
-    stars = components(links(points, bits, similarity))
+    stars = components(links(points, bits, similarity, **({} if similarity is None else WIDE)))
     tied = stars.join(points.select(F.col("node"), "first_doc"), "node")
     least = tied.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     linked = tied.join(least, "root").select("node", "component_id")
