@@ -8,8 +8,9 @@
    and the other way round.
 4. A pair is reported if consistent windows cover at least ``least`` of the item's tokens, or ``run`` tokens of it.
 
-Items of fewer than WIDTH tokens are one window of their own length; items of fewer than ``LITERALS`` ordinary words identify nothing
-and are never reported.
+Items of fewer than WIDTH tokens are one window of their own length. A template window needs ``LITERALS`` ordinary words; all windows meet
+by their literal tokens too (numbers, names and units as they are), so a verbatim copy is found whatever its words. An item of a single
+token identifies nothing and is never reported.
 
 Defined cases: null and empty texts have no windows; repeated rows of an id count as one document (or item); a null id is an id of its
 own; an empty benchmark reports nothing; further columns are ignored; texts are whole at any length.
@@ -17,6 +18,7 @@ own; an empty benchmark reports nothing; further columns are ignored; texts are
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -28,7 +30,8 @@ from stagegraph.llm.common import arrow_schema, pieces, record, table, utf8
 from stagegraph.llm.tokens import blocks, span_hashes
 
 WIDTH = 8
-LITERALS = 4  # ordinary words that a window needs
+LITERALS = 4  # ordinary words that a template window needs
+LITERAL = np.uint64(0x5851F42D4C957F2D)  # parts the hashes of literal tokens from those of template tokens
 BITS = 1 << 24
 
 # Unit words (only after a number) and number words.
@@ -78,7 +81,7 @@ class Canon(dict):
         return self.made
 
     def templates(self, texts: list[bytes]):
-        """Of texts without their dropped words: (token hashes, whether a slot, word numbers, the texts' n + 1 offsets)."""
+        """Of texts without their dropped words: (token hashes, literal hashes, whether a slot, word numbers, the texts' n + 1 offsets)."""
         words = [t.split() for t in texts]
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         of = self.__getitem__
@@ -94,7 +97,7 @@ class Canon(dict):
         after = np.zeros(len(number), dtype=bool)
         after[1:] = (kind[:-1] == NUMBER) & (text[1:] == text[:-1])
         slot = (kind == NUMBER) | (kind == QUANTITY) | ((kind == UNIT) & after) | ((kind == NAME) & ~first)
-        return np.where(slot, _SLOT[kind], plain), slot, number, np.searchsorted(text, np.arange(len(texts) + 1))
+        return np.where(slot, _SLOT[kind], plain), plain ^ LITERAL, slot, number, np.searchsorted(text, np.arange(len(texts) + 1))
 
     def fit(self, most: int = 1 << 19) -> None:
         """Forget words between texts, before the table grows past its bound."""
@@ -103,19 +106,19 @@ class Canon(dict):
             self.__init__()
 
 
-def _windows(values, slot, bounds, width: int):
-    """(start, text) of the windows with enough ordinary words."""
+def _windows(values, slot, bounds, width: int, least: int = LITERALS):
+    """(start, text) of the windows with at least ``least`` ordinary words."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     plain = np.concatenate(([0], np.cumsum(~slot)))
-    start = np.flatnonzero(plain[width:] - plain[:n] >= min(LITERALS, width))
+    start = np.flatnonzero(plain[width:] - plain[:n] >= least)
     text = np.searchsorted(bounds, start, side="right") - 1
     inside = start + width <= bounds[text + 1]
     return start[inside], text[inside]
 
 
-ITEMS = "h long, width int, item_id long, item_pos int, n_tokens int, item_slots array<string>"
+ITEMS = "h long, width int, item_id long, item_pos int, n_tokens int, item_slots array<string>, literal boolean"
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -126,14 +129,16 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
         for batch in pieces(batches):
             out = {f.name: [] for f in target}
             for item, text in zip(batch.column("item_id").to_pylist(), utf8(batch.column("text").to_pylist()), strict=True):
-                values, slot, number, bounds = canon.templates([text])
+                values, literal, slot, number, bounds = canon.templates([text])
                 n = len(values)
                 w = min(width, n)
-                if w < LITERALS:
+                if w < 2:
                     continue
-                for s, h in zip((at := _windows(values, slot, bounds, w)[0]).tolist(), span_hashes(values, at, at + w).view(np.int64).tolist(), strict=True):
-                    for name, value in zip(out, (h, w, item, s, n, [canon.plain[i] for i in number[s : s + w][slot[s : s + w]]]), strict=True):
-                        out[name].append(value)
+                for tokens, least in ((values, LITERALS), (literal, 0)):
+                    for s, h in zip((at := _windows(tokens, slot, bounds, w, least)[0]).tolist(), span_hashes(tokens, at, at + w).view(np.int64).tolist(), strict=True):
+                        slots = [canon.plain[i] for i in number[s : s + w][slot[s : s + w]]] if least else []
+                        for name, value in zip(out, (h, w, item, s, n, slots, not least), strict=True):
+                            out[name].append(value)
             yield record(out, target)
 
     return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, ITEMS).dropDuplicates(["h", "item_id", "item_pos"])
@@ -161,15 +166,15 @@ def doc_windows(docs: DataFrame, widths: list[int], words: np.ndarray) -> DataFr
         for batch in pieces(batches):
             ids, texts = batch.column("doc_id").to_pylist(), utf8(batch.column("text").to_pylist())
             for first, some in blocks(texts, 1 << 19):
-                values, slot, number, bounds = canon.templates(some)
-                for width in widths:
-                    start, text = _windows(values, slot, bounds, width)
-                    h = span_hashes(values, start, start + width)
+                values, literal, slot, number, bounds = canon.templates(some)
+                for width, (tokens, least) in itertools.product(widths, ((values, LITERALS), (literal, 0))):
+                    start, text = _windows(tokens, slot, bounds, width, least)
+                    h = span_hashes(tokens, start, start + width)
                     at = h & np.uint64(bits - 1)  # as pmod of the signed long
                     seen = np.flatnonzero((has[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
                     if not len(seen):
                         continue
-                    slots = [[canon.plain[i] for i in number[s : s + width][slot[s : s + width]]] for s in start[seen].tolist()]
+                    slots = [[canon.plain[i] for i in number[s : s + width][slot[s : s + width]]] if least else [] for s in start[seen].tolist()]
                     yield record({"h": h[seen].view(np.int64), "doc_id": [ids[first + t] for t in text[seen].tolist()], "doc_pos": start[seen] - bounds[text[seen]], "doc_slots": slots}, target)
                 canon.fit()
 
@@ -184,15 +189,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, leas
     hits = doc_windows(docs, widths, bitmap(items.select("h")))
     pairs = F.transform(F.arrays_zip("item_slots", "doc_slots"), lambda x: F.struct(x["item_slots"].alias("item"), x["doc_slots"].alias("doc")))
     joined = hits.join(items, "h").where(F.size("item_slots") == F.size("doc_slots"))
-    aligned = joined.groupBy("doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("offset")).agg(
+    aligned = joined.groupBy("doc_id", "item_id", "literal", (F.col("doc_pos") - F.col("item_pos")).alias("offset")).agg(
         F.max("n_tokens").alias("n_tokens"),
         F.collect_set(F.struct("item_pos", "width")).alias("windows"),  # at most the item's length
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
     )
     consistent = aligned.where((F.size("pairs") == F.size(F.array_distinct("pairs.item"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.doc"))))
     tokens = F.flatten(F.transform("windows", lambda w: F.sequence(w["item_pos"], w["item_pos"] + w["width"] - 1)))
-    found = consistent.select("doc_id", "item_id", "n_tokens", F.explode(F.array_distinct(tokens)).alias("token"), F.size("windows").alias("n"), F.size(F.filter("pairs", lambda p: p["item"] != p["doc"])).alias("changed"))
-    covered = found.groupBy("doc_id", "item_id").agg(F.max("n_tokens").alias("n_tokens"), F.countDistinct("token").alias("n_covered"), F.max("n").cast("long").alias("n_windows"), F.min("changed").cast("long").alias("n_changed"))
+    found = consistent.select("doc_id", "item_id", "literal", "n_tokens", F.explode(F.array_distinct(tokens)).alias("token"), F.size("windows").alias("n"), F.size(F.filter("pairs", lambda p: p["item"] != p["doc"])).alias("changed"))
+    covered = found.groupBy("doc_id", "item_id").agg(F.max("n_tokens").alias("n_tokens"), F.countDistinct("token").alias("n_covered"), F.max("n").cast("long").alias("n_windows"), F.coalesce(F.min(F.when(~F.col("literal"), F.col("changed"))), F.lit(0)).cast("long").alias("n_changed"))
     share = F.col("n_covered") / F.col("n_tokens")
     return covered.where((share >= least) | (F.col("n_covered") >= run)).select("doc_id", "item_id", "n_windows", "n_covered", share.alias("coverage"), "n_changed")
 

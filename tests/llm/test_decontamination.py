@@ -43,3 +43,11 @@ def test_whole_items_of_the_tables(spark, sf_dir):
     texts = [(r.doc_id, plain(r.text)) for r in docs.collect()]
     wanted = {(d, i.item_id) for i in items.collect() for d, t in texts if plain(i.text) in t}
     assert {(r.doc_id, r.item_id) for r in contaminated(docs, items).collect()} == wanted
+
+
+def test_items_of_numbers_names_and_units_are_found_word_for_word(spark):
+    items = [(1, "What is 15 * 3 + 7?"), (2, "Paris 1900 25 kg"), (3, "12 14 16"), (4, "1 2 3 4 5 6 7 8 9 10 11 12 and 13 14 15 16 17 18 19")]
+    docs = [(i, f"so it was asked: {text} and no more", "", "") for i, text in items] + [(10, "What is 16 * 3 + 8?", "", ""), (11, "12 15 16, Rome 1900 25 kg", "", ""), (12, "1 2 4 3 5 7 6 8 10 9 11", "", "")]
+    got = found(spark, docs, items)
+    assert set(got) == {(i, i) for i, _ in items}
+    assert all(r.coverage == 1 and r.n_changed == 0 for r in got.values())
