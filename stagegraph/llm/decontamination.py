@@ -1,11 +1,13 @@
 """Benchmark decontamination by template canonicalisation: re-parameterised questions are found, not only verbatim ones.
 
 1. ``Canon`` turns words into template tokens: numbers, names and units become typed placeholders; other words lose case and outer
-   punctuation. A name is a capitalised word inside a sentence, a unit is a unit word after a number.
+   punctuation. A name is a capitalised word inside a sentence, a unit is a unit word after a number. A capitalised word that begins a
+   sentence may be either: items have a window for each reading of theirs, documents one with all of them plain and one with all as names.
 2. Windows of ``WIDTH`` template tokens of both sides meet in a hash join. The documents' windows first pass a bitmap of fixed size
    (``BITS``) of the benchmark's window hashes; it only saves rows, the join decides.
 3. For each document, item and offset the slots must be consistent: each slot value of the item stands for one value of the document,
    and the other way round.
+   Windows that both sides read plainly, and windows of any reading, are judged apart; so a second reading never undoes the first.
 4. A pair is reported if consistent windows cover at least ``least`` of the item's tokens, or ``run`` tokens of it.
 
 Items of fewer than WIDTH tokens are one window of their own length. A template window needs ``LITERALS`` ordinary words; all windows meet
@@ -81,7 +83,8 @@ class Canon(dict):
         return self.made
 
     def templates(self, texts: list[bytes]):
-        """Of texts without their dropped words: (token hashes, literal hashes, whether a slot, word numbers, the texts' n + 1 offsets)."""
+        """Of texts without their dropped words: (token hashes, literal hashes, whether a slot, whether a capitalised word that begins a
+        sentence, word numbers, the texts' n + 1 offsets)."""
         words = [t.split() for t in texts]
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         of = self.__getitem__
@@ -97,7 +100,7 @@ class Canon(dict):
         after = np.zeros(len(number), dtype=bool)
         after[1:] = (kind[:-1] == NUMBER) & (text[1:] == text[:-1])
         slot = (kind == NUMBER) | (kind == QUANTITY) | ((kind == UNIT) & after) | ((kind == NAME) & ~first)
-        return np.where(slot, _SLOT[kind], plain), plain ^ LITERAL, slot, number, np.searchsorted(text, np.arange(len(texts) + 1))
+        return np.where(slot, _SLOT[kind], plain), plain ^ LITERAL, slot, (kind == NAME) & first, number, np.searchsorted(text, np.arange(len(texts) + 1))
 
     def fit(self, most: int = 1 << 19) -> None:
         """Forget words between texts, before the table grows past its bound."""
@@ -118,7 +121,7 @@ def _windows(values, slot, bounds, width: int, least: int = LITERALS):
     return start[inside], text[inside]
 
 
-ITEMS = "h long, width int, item_id long, item_pos int, n_tokens int, item_slots array<string>, literal boolean"
+ITEMS = "h long, width int, item_id long, item_pos int, n_tokens int, item_slots array<string>, literal boolean, item_first boolean"
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -127,18 +130,28 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches):
         canon = Canon()
         for batch in pieces(batches):
-            out = {f.name: [] for f in target}
+            out, rows = {f.name: [] for f in target}, []
             for item, text in zip(batch.column("item_id").to_pylist(), utf8(batch.column("text").to_pylist()), strict=True):
-                values, literal, slot, number, bounds = canon.templates([text])
+                values, literal, slot, begins, number, bounds = canon.templates([text])
                 n = len(values)
                 w = min(width, n)
                 if w < 2:
                     continue
-                for tokens, least in ((values, LITERALS), (literal, 0)):
-                    for s, h in zip((at := _windows(tokens, slot, bounds, w, least)[0]).tolist(), span_hashes(tokens, at, at + w).view(np.int64).tolist(), strict=True):
-                        slots = [canon.plain[i] for i in number[s : s + w][slot[s : s + w]]] if least else []
-                        for name, value in zip(out, (h, w, item, s, n, slots, not least), strict=True):
-                            out[name].append(value)
+                at = np.arange(n - w + 1)
+                for s, h in enumerate(span_hashes(literal, at, at + w).view(np.int64).tolist()):
+                    rows.append((h, w, item, s, n, [], True, True))
+                for s in at.tolist():
+                    open_ = s + np.flatnonzero(begins[s : s + w])
+                    for names in itertools.product((False, True), repeat=len(open_)):  # 2 ** w at most
+                        as_slot, tokens = slot[s : s + w].copy(), values[s : s + w].copy()
+                        chosen = open_[list(names)] - s if len(open_) else open_
+                        as_slot[chosen], tokens[chosen] = True, _SLOT[NAME]
+                        if w - as_slot.sum() >= LITERALS:
+                            h = int(span_hashes(tokens, np.array([0]), np.array([w])).view(np.int64)[0])
+                            rows.append((h, w, item, s, n, [canon.plain[i] for i in number[s : s + w][as_slot]], False, not any(names)))
+            for row in rows:
+                for name, value in zip(out, row, strict=True):
+                    out[name].append(value)
             yield record(out, target)
 
     return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, ITEMS).dropDuplicates(["h", "item_id", "item_pos"])
@@ -153,7 +166,7 @@ def bitmap(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
     return words
 
 
-HITS = "h long, doc_id long, doc_pos int, doc_slots array<string>"
+HITS = "h long, doc_id long, doc_pos int, doc_slots array<string>, doc_first boolean"
 
 
 def doc_windows(docs: DataFrame, widths: list[int], words: np.ndarray) -> DataFrame:
@@ -166,16 +179,21 @@ def doc_windows(docs: DataFrame, widths: list[int], words: np.ndarray) -> DataFr
         for batch in pieces(batches):
             ids, texts = batch.column("doc_id").to_pylist(), utf8(batch.column("text").to_pylist())
             for first, some in blocks(texts, 1 << 19):
-                values, literal, slot, number, bounds = canon.templates(some)
-                for width, (tokens, least) in itertools.product(widths, ((values, LITERALS), (literal, 0))):
-                    start, text = _windows(tokens, slot, bounds, width, least)
+                values, literal, slot, begins, number, bounds = canon.templates(some)
+                named, opened = np.where(begins, _SLOT[NAME], values), np.concatenate(([0], np.cumsum(begins)))
+                readings = (values, slot, LITERALS, True), (named, slot | begins, LITERALS, False), (literal, slot, 0, True)
+                for width, (tokens, as_slot, least, plainly) in itertools.product(widths, readings):
+                    start, text = _windows(tokens, as_slot, bounds, width, least)
+                    if not plainly:
+                        other = opened[start + width] > opened[start]
+                        start, text = start[other], text[other]
                     h = span_hashes(tokens, start, start + width)
                     at = h & np.uint64(bits - 1)  # as pmod of the signed long
                     seen = np.flatnonzero((has[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
                     if not len(seen):
                         continue
-                    slots = [[canon.plain[i] for i in number[s : s + width][slot[s : s + width]]] if least else [] for s in start[seen].tolist()]
-                    yield record({"h": h[seen].view(np.int64), "doc_id": [ids[first + t] for t in text[seen].tolist()], "doc_pos": start[seen] - bounds[text[seen]], "doc_slots": slots}, target)
+                    slots = [[canon.plain[i] for i in number[s : s + width][as_slot[s : s + width]]] if least else [] for s in start[seen].tolist()]
+                    yield record({"h": h[seen].view(np.int64), "doc_id": [ids[first + t] for t in text[seen].tolist()], "doc_pos": start[seen] - bounds[text[seen]], "doc_slots": slots, "doc_first": np.full(len(seen), plainly)}, target)
                 canon.fit()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, HITS)
@@ -189,15 +207,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, leas
     hits = doc_windows(docs, widths, bitmap(items.select("h")))
     pairs = F.transform(F.arrays_zip("item_slots", "doc_slots"), lambda x: F.struct(x["item_slots"].alias("item"), x["doc_slots"].alias("doc")))
     joined = hits.join(items, "h").where(F.size("item_slots") == F.size("doc_slots"))
-    aligned = joined.groupBy("doc_id", "item_id", "literal", (F.col("doc_pos") - F.col("item_pos")).alias("offset")).agg(
+    judged = F.when(F.col("literal"), F.array(F.lit(0))).when(F.col("item_first") & F.col("doc_first"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))
+    aligned = joined.withColumn("reading", F.explode(judged)).groupBy("doc_id", "item_id", "reading", (F.col("doc_pos") - F.col("item_pos")).alias("offset")).agg(
         F.max("n_tokens").alias("n_tokens"),
         F.collect_set(F.struct("item_pos", "width")).alias("windows"),  # at most the item's length
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
     )
     consistent = aligned.where((F.size("pairs") == F.size(F.array_distinct("pairs.item"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.doc"))))
     tokens = F.flatten(F.transform("windows", lambda w: F.sequence(w["item_pos"], w["item_pos"] + w["width"] - 1)))
-    found = consistent.select("doc_id", "item_id", "literal", "n_tokens", F.explode(F.array_distinct(tokens)).alias("token"), F.size("windows").alias("n"), F.size(F.filter("pairs", lambda p: p["item"] != p["doc"])).alias("changed"))
-    covered = found.groupBy("doc_id", "item_id").agg(F.max("n_tokens").alias("n_tokens"), F.countDistinct("token").alias("n_covered"), F.max("n").cast("long").alias("n_windows"), F.coalesce(F.min(F.when(~F.col("literal"), F.col("changed"))), F.lit(0)).cast("long").alias("n_changed"))
+    found = consistent.select("doc_id", "item_id", "reading", "n_tokens", F.explode(F.array_distinct(tokens)).alias("token"), F.size("windows").alias("n"), F.size(F.filter("pairs", lambda p: p["item"] != p["doc"])).alias("changed"))
+    covered = found.groupBy("doc_id", "item_id").agg(F.max("n_tokens").alias("n_tokens"), F.countDistinct("token").alias("n_covered"), F.max("n").cast("long").alias("n_windows"), F.coalesce(F.min(F.when(F.col("reading") > 0, F.col("changed"))), F.lit(0)).cast("long").alias("n_changed"))
     share = F.col("n_covered") / F.col("n_tokens")
     return covered.where((share >= least) | (F.col("n_covered") >= run)).select("doc_id", "item_id", "n_windows", "n_covered", share.alias("coverage"), "n_changed")
 

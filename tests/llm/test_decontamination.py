@@ -51,3 +51,15 @@ def test_items_of_numbers_names_and_units_are_found_word_for_word(spark):
     got = found(spark, docs, items)
     assert set(got) == {(i, i) for i, _ in items}
     assert all(r.coverage == 1 and r.n_changed == 0 for r in got.values())
+
+
+def test_capitalised_words_at_the_start_of_sentences(spark):
+    items = [(1, "Maria has 4 apples. Maria buys 3 more."), (2, "Carol walks home with bread today"), (3, "What did Peter take along? Peter ran to town. Peter sold wood there. Peter came back.")]
+    docs = [
+        (1, "Anna has 5 apples. Anna buys 2 more.", "", ""), (2, "Anna has 5 apples. Berta buys 2 more.", "", ""), (3, "Q: Maria has 4 apples. Maria buys 3 more.", "", ""),
+        (4, "Question Carol walks home with bread today", "", ""), (5, "Question: Doris walks home with bread today", "", ""),
+        (6, "so what did Emil take along? Emil ran to town. Emil sold wood there. Emil came back.", "", ""),
+    ]
+    got = found(spark, docs, items)
+    assert set(got) == {(1, 1), (3, 1), (4, 2), (5, 2), (6, 3)}
+    assert got[(1, 1)].n_changed == 3 and got[(3, 1)].n_changed == got[(4, 2)].n_changed == 0 and got[(5, 2)].n_changed == got[(6, 3)].n_changed == 1
