@@ -6,7 +6,9 @@ State (two tables, both DataFrames that a caller may write anywhere):
   ``n_docs`` the documents (rows) that hold it, ``top_doc`` the largest id among them.
 * ``filters(shard int, blob binary, n long)``: for each shard a cuckoo filter of its keys.
 
-``insert`` and ``delete`` change the state by a batch of documents. A shard's filter answers "certainly new" without a look at the
+``insert`` and ``delete`` give the counts after a batch of documents, and ``changed_filters`` the filters that go with them: the blob of
+each shard whose keys changed is updated by ``add`` and ``remove``, or built from the exact counts when it is full. ``inserted`` and
+``deleted`` return both; filters of an earlier state must not be used with later counts. A shard's filter answers "certainly new" without a look at the
 counts; every "maybe" is settled by the exact table, so a false positive of the filter never reaches a result. Deletion lowers the
 counts, takes keys that reach zero out of the filter, and finds the largest remaining holder from the remaining documents.
 
@@ -188,6 +190,40 @@ def delete(counts: DataFrame, removed: DataFrame, remaining: DataFrame, shards:
     return left.join(tops, "key", "left").select("key", "shard", "n_docs", F.coalesce("new_top", "top_doc").alias("top_doc"))
 
 
+def changed_filters(filters: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """The filters of ``after`` (counts) from those of ``before``."""
+    marked = before.select("shard", "key", F.lit(1).alias("was"), F.lit(0).alias("now")).unionByName(after.select("shard", "key", F.lit(0).alias("was"), F.lit(1).alias("now")))
+    keys = marked.groupBy("shard", "key").agg(F.max("was").alias("was"), F.max("now").alias("now"))
+    changed = keys.where("was <> now").select("shard").distinct()
+    blank = F.lit(None)
+    rows = keys.join(changed, "shard", "left_semi").withColumn("blob", blank.cast("binary")).unionByName(filters.join(changed, "shard", "left_semi").select("shard", blank.cast("binary").alias("key"), F.lit(0).alias("was"), F.lit(0).alias("now"), "blob"))
+
+    def update(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        blobs, keys = pdf.loc[pdf["blob"].notna(), "blob"], pdf[pdf["key"].notna()]
+        held = _hashes(keys.loc[keys["now"] == 1, "key"])
+        made = CuckooFilter.load(blobs.iloc[0]) if len(blobs) else None
+        if made is not None:
+            made.remove(_hashes(keys.loc[(keys["was"] == 1) & (keys["now"] == 0), "key"]))
+        if made is None or not made.add(_hashes(keys.loc[(keys["was"] == 0) & (keys["now"] == 1), "key"])):
+            made = CuckooFilter.of(held)
+        return pd.DataFrame({"shard": [key[0]], "blob": [made.dump()], "n": [len(held)]})
+
+    new = rows.groupBy("shard").applyInPandas(update, FILTERS).where("n > 0")
+    return filters.join(changed, "shard", "left_anti").select("shard", "blob", "n").unionByName(new)
+
+
+def inserted(counts: DataFrame | None, filters: DataFrame | None, docs: DataFrame, shards: int, min_chars: int = 40) -> tuple[DataFrame, DataFrame]:
+    """(counts, filters) after a batch of documents."""
+    after = written(insert(counts, filters, docs, shards, min_chars))
+    return after, written(build_filters(after) if counts is None or filters is None else changed_filters(filters, counts, after))
+
+
+def deleted(counts: DataFrame, filters: DataFrame, removed: DataFrame, remaining: DataFrame, shards: int, min_chars: int = 40) -> tuple[DataFrame, DataFrame]:
+    """(counts, filters) after ``removed`` have gone."""
+    after = written(delete(counts, removed, remaining, shards, min_chars))
+    return after, written(changed_filters(filters, counts, after))
+
+
 def shards_for(docs: DataFrame) -> int:
     return partitions(docs)
 

@@ -57,3 +57,29 @@ def test_cuckoo_filter_has_what_was_added_and_forgets_what_was_removed():
     again = line_dedup.CuckooFilter.load(made.dump())
     again.remove(keys[:2500])
     assert again.has(keys[2500:]).all() and again.has(keys[:2500]).mean() < 0.01
+
+
+def test_filters_follow_three_batches_and_a_deletion(spark):
+    line = lambda i: f"Line number {i} is long enough to be counted by the dedup."
+    rows = [(i, "\n".join([line("common"), line(i), *([line("from the second batch on")] if i >= 10 else [])])) for i in range(30)]
+    batch = lambda *r: spark.createDataFrame([rows[i] for x in r for i in x], "doc_id long, text string")
+    counted = lambda c: sorted((bytes(r.key), r.shard, r.n_docs, r.top_doc) for r in c.collect())
+    counts, filters = None, None
+    for some in (range(10), range(10, 20), range(20, 30)):
+        counts, filters = line_dedup.inserted(counts, filters, batch(some), 3)
+    whole = line_dedup.insert(None, None, batch(range(30)), 3)
+    assert counted(counts) == counted(whole)
+    kept = batch(range(10), range(25, 30))
+    counts, filters = line_dedup.deleted(counts, filters, batch(range(10, 25)), kept, 3)
+    whole = line_dedup.insert(None, None, kept, 3)
+    assert counted(counts) == counted(whole)
+    keys = {}
+    for r in counts.collect():
+        keys.setdefault(r.shard, []).append(bytes(r.key))
+    state = {r.shard: r for r in filters.collect()}
+    assert {s: r.n for s, r in state.items()} == {s: len(k) for s, k in keys.items()}
+    for shard, held in keys.items():
+        made = line_dedup.CuckooFilter.load(state[shard].blob)
+        assert made.has(line_dedup._hashes(held)).all() and (made.table != 0).sum() == len(held)
+    counts, filters = line_dedup.inserted(counts, filters, batch(range(10, 25)), 3)  # what has gone may come again
+    assert counted(counts) == counted(line_dedup.insert(None, None, batch(range(30)), 3))
