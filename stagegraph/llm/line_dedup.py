@@ -3,36 +3,37 @@
 State (two tables, both DataFrames that a caller may write anywhere):
 
 * ``counts(key binary, shard int, n_docs long, top_doc long)``: the exact reference counts. ``key`` is the SHA-256 of a line's key,
-  ``n_docs`` the documents (rows) that hold it, ``top_doc`` the largest id among them.
+  ``n_docs`` the documents that hold it, ``top_doc`` the largest id among them.
 * ``filters(shard int, blob binary, n long)``: for each shard a cuckoo filter of its keys.
 
-``insert`` and ``delete`` give the counts after a batch of documents, and ``changed_filters`` the filters that go with them: the blob of
-each shard whose keys changed is updated by ``add`` and ``remove``, or built from the exact counts when it is full. ``inserted`` and
-``deleted`` return both; filters of an earlier state must not be used with later counts. A shard's filter answers "certainly new" without a look at the
-counts; every "maybe" is settled by the exact table, so a false positive of the filter never reaches a result. Deletion lowers the
-counts, takes keys that reach zero out of the filter, and finds the largest remaining holder from the remaining documents.
+``inserted`` and ``deleted`` return both after a batch of documents. A shard's filter answers "certainly new" without a look at the
+counts; every "maybe" is settled by the exact table, so a false positive of the filter never reaches a result. Only shards whose keys
+changed get a new filter: ``add`` takes the new keys, ``remove`` those whose count reached zero, and a filter that is full is built from
+the exact counts. Filters of an earlier state must not be used with later counts. Deletion lowers the counts and finds the largest
+remaining holder from the remaining documents.
 
-Defined cases: a null or empty text is one empty line; a row is a document, so rows that repeat a doc_id count each; a null doc_id
-sorts before all others; keys shorter than ``min_chars`` code points are never dropped; further columns are ignored.
+Lines are split, trimmed, lower-cased, measured and hashed by built-in functions; only filters are Python. A shard's lines stream past
+its filter, and a shard with many lines is dealt to several tasks.
+
+Defined cases: a null or empty text is one empty line; a document is a doc_id, so rows that repeat an id are one document, whose rows
+must come in one batch, and each row has a row in the result; a null doc_id is one id, before all others; keys shorter than
+``min_chars`` code points are never dropped; an empty table gives an empty result, empty counts and no filters; a text of any length is
+whole; further columns are carried, also those that are called like the operator's own.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from stagegraph.llm.common import arrow_schema, doc_key, partitions, pieces, record, table, written
+from stagegraph.llm.common import doc_key, partitions, table, written
 from stagegraph.llm.tokens import mix
 
 SPACE = " \t\n\x0b\x0c\r"
-_LOWER = {c: c + 32 for c in range(65, 91)}
-DOC, KEYS = "__line_doc", "__line_keys"  # names that no table has
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COUNTS = "key binary, shard int, n_docs long, top_doc long"
 FILTERS = "shard int, blob binary, n long"
 
@@ -114,31 +115,30 @@ class CuckooFilter:
             room = 2 * max(1, room)
 
 
-def line_key(line: str) -> str:
-    return line.strip(SPACE).translate(_LOWER)
+def split_lines(text: Column | str = "text") -> Column:
+    return F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "\n", -1)
+
+
+def line_key(line: Column) -> Column:
+    return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
 
 
-def keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc, key): each long enough key once for every document that holds it."""
-    target = arrow_schema(docs.sparkSession, "doc long, key binary")
+def keyed_lines(docs: DataFrame, min_chars: int, *more: Column) -> DataFrame:
+    """(doc, *more, n, key): the n-th line's key where it is long enough, as the SHA-256 of its text."""
+    own = docs.select(doc_key().alias("doc"), *more, F.posexplode(F.transform(split_lines(), line_key)).alias("n", "line"))
+    rest = [c for c in own.columns if c != "line"]
+    return own.where(F.char_length("line") >= min_chars).select(*rest, F.unhex(F.sha2(F.col("line").cast("binary"), 256)).alias("key"))
 
-    def run(batches):
-        for batch in pieces(batches):
-            ids, keys = [], []
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = {k for x in (text or "").split("\n") if len(x) >= min_chars and len(k := line_key(x)) >= min_chars}
-                ids += [doc] * len(found)
-                keys += [hashlib.sha256(k.encode("utf-8", "surrogatepass")).digest() for k in found]
-            yield record({"doc": ids, "key": keys}, target)
 
-    return docs.select(doc_key().alias("doc"), "text").mapInArrow(run, "doc long, key binary")
+def _sharded(keys: DataFrame, shards: int) -> DataFrame:
+    return keys.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
 
 
 def deltas(docs: DataFrame, shards: int, min_chars: int) -> DataFrame:
-    """The counts that a batch of documents adds, one row a key; Spark adds up on the map side first, so a key that a third of all
-    documents hold is one row for each map task."""
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
-    return keyed_lines(docs, min_chars).groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc").alias("top_doc")).withColumn("shard", shard).select("key", "shard", "n_docs", "top_doc")
+    """The counts that a batch of documents adds, one row a key. Documents are told apart in groups of (key, doc) first, so a key that a
+    third of all documents hold is dealt evenly, and is one row for each task in the second step."""
+    each = keyed_lines(docs, min_chars).select("doc", "key").distinct()
+    return _sharded(each.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc").alias("top_doc")), shards).select("key", "shard", "n_docs", "top_doc")
 
 
 def _hashes(keys) -> np.ndarray:
@@ -148,119 +148,141 @@ def _hashes(keys) -> np.ndarray:
 def build_filters(counts: DataFrame) -> DataFrame:
     """A cuckoo filter for each shard of exact counts; a shard is a bounded number of distinct keys, as ``shards_for`` sizes it."""
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": [key[0]], "blob": [CuckooFilter.of(_hashes(pdf["key"])).dump()], "n": [len(pdf)]})
+    def build(key: tuple, keys: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"shard": [key[0]], "blob": [CuckooFilter.of(_hashes(keys["key"])).dump()], "n": [len(keys)]})
 
     return counts.select("shard", "key").groupBy("shard").applyInPandas(build, FILTERS)
 
 
-def insert(counts: DataFrame | None, filters: DataFrame | None, docs: DataFrame, shards: int, min_chars: int = 40) -> DataFrame:
-    """The counts after a batch of documents. With an empty state this is the batch's own counts; else each shard's filter parts the
-    batch's keys into certainly new ones and ones to look up."""
-    new = deltas(docs, shards, min_chars)
-    if counts is None or filters is None:
-        return new
-    return _settle(counts, filters, new)
+def probed(rows: DataFrame, filters: DataFrame, n: int, salts: DataFrame | None = None) -> DataFrame:
+    """``rows(shard, key, ...)`` with ``maybe``: whether the shard's filter may hold the key; false where the shard has no filter.
 
+    A shard's filter meets its rows in one partition for each salt, as a row that sorts before them; rows stream past it, so a very
+    frequent key costs no memory. ``salts(shard, salts)`` is of a row a shard at most.
+    """
+    names = rows.columns
+    one = filters.select("shard", F.lit(1).alias("salts")) if salts is None else salts
+    one = F.broadcast(one)  # a row a shard at most, as many as shuffle partitions
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != "shard"]
+    held = filters.join(one, "shard").select("shard", *blank, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("__salt"), "blob")
+    asked = rows.join(one, "shard", "left").select("shard", *[c for c in names if c != "shard"], F.pmod(F.xxhash64(*[c for c in names if c != "shard"]), F.coalesce("salts", F.lit(1))).cast("int").alias("__salt"), F.lit(None).cast("binary").alias("blob"))
+    both = held.unionByName(asked).repartition(n, "shard", "__salt").sortWithinPartitions("shard", "__salt", F.col("blob").isNull())
+    shape = rows.select(*names, F.lit(True).alias("maybe")).schema
 
-def _settle(counts: DataFrame, filters: DataFrame, new: DataFrame) -> DataFrame:
-    def mark(batches):
+    def probe(batches):
+        place, now = None, None
         for batch in batches:
-            out = []
-            for shard, blob, keys in zip(*(batch.column(c).to_pylist() for c in ("shard", "blob", "keys")), strict=True):
-                seen = CuckooFilter.load(blob).has(_hashes(keys)) if blob else np.zeros(len(keys), dtype=bool)
-                out += [{"key": k, "maybe": bool(s)} for k, s in zip(keys, seen, strict=True)]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.binary()), ("maybe", pa.bool_())]))
-
-    asked = new.groupBy("shard").agg(F.collect_list("key").alias("keys")).join(filters.select("shard", "blob"), "shard", "left")
-    known = new.join(asked.mapInArrow(mark, "key binary, maybe boolean"), "key")
-    fresh = known.where(~F.col("maybe")).drop("maybe")
-    maybe = known.where("maybe").drop("maybe")
-    old = counts.alias("o").join(maybe.alias("m"), "key", "full_outer").select("key", F.coalesce("o.shard", "m.shard").alias("shard"), (F.coalesce("o.n_docs", F.lit(0)) + F.coalesce("m.n_docs", F.lit(0))).alias("n_docs"), F.greatest("o.top_doc", "m.top_doc").alias("top_doc"))
-    return old.unionByName(fresh.select("key", "shard", "n_docs", "top_doc"))
-
-
-def delete(counts: DataFrame, removed: DataFrame, remaining: DataFrame, shards: int, min_chars: int = 40) -> DataFrame:
-    """The counts after ``removed`` (documents inserted before) have gone; ``remaining`` are the documents that stay. Only keys whose
-    largest holder has gone are looked for among ``remaining``."""
+            shards = (np.asarray(batch.column("shard")).astype(np.int64) << 32) | np.asarray(batch.column("__salt"))
+            edges = np.flatnonzero(np.diff(shards)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(shards)], strict=True):
+                if a == b:
+                    continue
+                if shards[a] != place:
+                    place, now = shards[a], None
+                if (blob := batch.column("blob")[a].as_py()) is not None:
+                    now, a = CuckooFilter.load(blob), a + 1
+                if a < b:
+                    part = batch.slice(a, b - a)
+                    seen = now.has(_hashes(part.column("key").to_pylist())) if now is not None else np.zeros(b - a, dtype=bool)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(seen)], names=[*names, "maybe"])
+
+    return both.mapInArrow(probe, shape)
+
+
+def insert(counts: DataFrame | None, filters: DataFrame | None, docs: DataFrame, shards: int, min_chars: int = 40) -> tuple[DataFrame, DataFrame | None]:
+    """(counts, changes) after a batch of documents. With an empty state the counts are the batch's own and changes are None; else each
+    shard's filter parts the batch's keys into certainly new ones, which are appended, and ones that are looked up in the counts.
+    ``changes(shard, key, add)``: the keys that the filters must take or forget."""
+    new = deltas(docs, shards, min_chars)
+    if counts is None or filters is None:
+        return new, None
+    known = written(probed(new, filters, partitions(docs)))
+    maybe = known.where("maybe").alias("m")
+    settled = counts.alias("o").join(maybe, "key", "full_outer").select(
+        "key", F.coalesce("o.shard", "m.shard").alias("shard"), (F.coalesce("o.n_docs", F.lit(0)) + F.coalesce("m.n_docs", F.lit(0))).alias("n_docs"),
+        F.greatest("o.top_doc", "m.top_doc").alias("top_doc"), F.col("o.key").isNull().alias("first"),
+    )
+    after = written(settled.unionByName(known.where("NOT maybe").select("key", "shard", "n_docs", "top_doc", F.lit(True).alias("first"))))
+    return after.drop("first"), after.where("first").select("shard", "key", F.lit(True).alias("add"))
+
+
+def delete(counts: DataFrame, removed: DataFrame, remaining: DataFrame, shards: int, min_chars: int = 40) -> tuple[DataFrame, DataFrame]:
+    """(counts, changes) after ``removed`` (documents inserted before) have gone; ``remaining`` are the documents that stay. Only keys
+    whose largest holder has gone are looked for among ``remaining``."""
     gone = deltas(removed, shards, min_chars).select("key", F.col("n_docs").alias("less"), F.col("top_doc").alias("gone_top"))
-    left = counts.join(gone, "key", "left").withColumn("n_docs", F.col("n_docs") - F.coalesce("less", F.lit(0))).where("n_docs > 0")
-    open_keys = left.where(F.col("gone_top") == F.col("top_doc")).select("key")
+    left = written(counts.join(gone, "key", "left").withColumn("n_docs", F.col("n_docs") - F.coalesce("less", F.lit(0))))
+    stay = left.where("n_docs > 0")
+    open_keys = stay.where(F.col("gone_top") == F.col("top_doc")).select("key")
     tops = keyed_lines(remaining, min_chars).join(open_keys, "key", "left_semi").groupBy("key").agg(F.max("doc").alias("new_top"))
-    return left.join(tops, "key", "left").select("key", "shard", "n_docs", F.coalesce("new_top", "top_doc").alias("top_doc"))
+    after = stay.join(tops, "key", "left").select("key", "shard", "n_docs", F.coalesce("new_top", "top_doc").alias("top_doc"))
+    return after, left.where("n_docs <= 0").select("shard", "key", F.lit(False).alias("add"))
 
 
-def changed_filters(filters: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """The filters of ``after`` (counts) from those of ``before``."""
-    marked = before.select("shard", "key", F.lit(1).alias("was"), F.lit(0).alias("now")).unionByName(after.select("shard", "key", F.lit(0).alias("was"), F.lit(1).alias("now")))
-    keys = marked.groupBy("shard", "key").agg(F.max("was").alias("was"), F.max("now").alias("now"))
-    changed = keys.where("was <> now").select("shard").distinct()
-    blank = F.lit(None)
-    rows = keys.join(changed, "shard", "left_semi").withColumn("blob", blank.cast("binary")).unionByName(filters.join(changed, "shard", "left_semi").select("shard", blank.cast("binary").alias("key"), F.lit(0).alias("was"), F.lit(0).alias("now"), "blob"))
+def changed_filters(filters: DataFrame, changes: DataFrame, after: DataFrame) -> DataFrame:
+    """The filters of ``after`` (counts): those of shards with ``changes`` take and forget keys, the others stay as they are."""
 
-    def update(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        blobs, keys = pdf.loc[pdf["blob"].notna(), "blob"], pdf[pdf["key"].notna()]
-        held = _hashes(keys.loc[keys["now"] == 1, "key"])
-        made = CuckooFilter.load(blobs.iloc[0]) if len(blobs) else None
-        if made is not None:
-            made.remove(_hashes(keys.loc[(keys["was"] == 1) & (keys["now"] == 0), "key"]))
-        if made is None or not made.add(_hashes(keys.loc[(keys["was"] == 0) & (keys["now"] == 1), "key"])):
-            made = CuckooFilter.of(held)
-        return pd.DataFrame({"shard": [key[0]], "blob": [made.dump()], "n": [len(held)]})
+    def update(key: tuple, old: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+        if not len(keys):
+            return old[["shard", "blob", "n"]]
+        add, gone = _hashes(keys.loc[keys["add"], "key"]), _hashes(keys.loc[~keys["add"], "key"])
+        if not len(old):
+            return pd.DataFrame({"shard": [key[0]], "blob": [CuckooFilter.of(add).dump()], "n": [len(add)]})
+        made = CuckooFilter.load(old["blob"].iloc[0])
+        made.remove(gone)
+        fits = made.add(add)
+        return pd.DataFrame({"shard": [key[0]], "blob": [made.dump() if fits else None], "n": [old["n"].iloc[0] + len(add) - len(gone)]})
 
-    new = rows.groupBy("shard").applyInPandas(update, FILTERS).where("n > 0")
-    return filters.join(changed, "shard", "left_anti").select("shard", "blob", "n").unionByName(new)
+    new = written(filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(update, FILTERS))
+    full = new.where("blob IS NULL").select("shard")
+    return new.where("blob IS NOT NULL AND n > 0").unionByName(build_filters(after.join(full, "shard", "left_semi")))
 
 
 def inserted(counts: DataFrame | None, filters: DataFrame | None, docs: DataFrame, shards: int, min_chars: int = 40) -> tuple[DataFrame, DataFrame]:
     """(counts, filters) after a batch of documents."""
-    after = written(insert(counts, filters, docs, shards, min_chars))
-    return after, written(build_filters(after) if counts is None or filters is None else changed_filters(filters, counts, after))
+    after, changes = insert(counts, filters, docs, shards, min_chars)
+    after = written(after)
+    return after, written(build_filters(after) if changes is None else changed_filters(filters, changes, after))
 
 
 def deleted(counts: DataFrame, filters: DataFrame, removed: DataFrame, remaining: DataFrame, shards: int, min_chars: int = 40) -> tuple[DataFrame, DataFrame]:
     """(counts, filters) after ``removed`` have gone."""
-    after = written(delete(counts, removed, remaining, shards, min_chars))
-    return after, written(changed_filters(filters, counts, after))
+    after, changes = delete(counts, removed, remaining, shards, min_chars)
+    after = written(after)
+    return after, written(changed_filters(filters, changes, after))
 
 
 def shards_for(docs: DataFrame) -> int:
     return partitions(docs)
 
 
-def drop_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, shards: int | None = None) -> DataFrame:
-    """docs' columns with text cleaned, and n_lines and n_dropped: lines whose key at least ``min_docs`` documents hold go everywhere
-    but in the largest doc_id. Columns of docs that are called like those two are replaced.
+def cleaned(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, shards: int | None = None) -> DataFrame:
+    """(row struct of docs' columns, text, n_lines, n_dropped): lines whose key at least ``min_docs`` documents hold go everywhere but
+    in the largest doc_id.
 
-    The heavy keys' cuckoo filters part the documents' lines first: only a line that its shard's filter may hold is joined with the
-    exact counts.
+    The documents are inserted into an empty state. The filters of the heavy keys part the documents' lines: only a line that its
+    shard's filter may hold is joined with the exact counts. A row's dropped lines come back as their places in it.
     """
-    carried = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    shards = shards or shards_for(docs)
-    counts = insert(None, None, docs, shards, min_chars)
+    n, shards = partitions(docs), shards or shards_for(docs)
+    counts, _ = insert(None, None, docs, shards, min_chars)
     heavy = written(counts.where(F.col("n_docs") >= min_docs))
-    filters = build_filters(heavy)
-    lines = keyed_lines(docs, min_chars).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    drops = _screen(lines, filters, _salts(heavy, partitions(docs)), partitions(docs)).join(heavy.select("key", "top_doc"), "key").where(F.col("doc") != F.col("top_doc"))
-    per_doc = drops.groupBy("doc").agg(F.collect_set("key").alias("keys"))
-    fresh = arrow_schema(docs.sparkSession, "text string, n_lines long, n_dropped long")
-
-    def rebuild(batches):
-        for batch in pieces(batches):
-            out = {f.name: [] for f in fresh}
-            for text, keys in zip(batch.column("text").to_pylist(), batch.column(KEYS).to_pylist(), strict=True):
-                lines, gone = (text or "").split("\n"), set(keys or ())
-                kept = [x for x in lines if len(x) < min_chars or len(k := line_key(x)) < min_chars or hashlib.sha256(k.encode("utf-8", "surrogatepass")).digest() not in gone] if gone else lines
-                for name, value in zip(out, ("\n".join(kept), len(lines), len(lines) - len(kept)), strict=True):
-                    out[name].append(value)
-            rest = batch.select(carried)
-            made = record(out, fresh)
-            yield pa.RecordBatch.from_arrays([*rest.columns, *made.columns], schema=pa.schema([*rest.schema, *fresh]))
-
-    keyed = docs.select(*carried, "text", doc_key().alias(DOC))
-    shape = StructType([*docs.select(*carried).schema, *StructType.fromDDL("text string, n_lines long, n_dropped long")])
-    gone = per_doc.select(F.col("doc").alias(DOC), F.col("keys").alias(KEYS)).hint("shuffle_hash")
-    return keyed.join(gone, DOC, "left").select(*carried, "text", KEYS).mapInArrow(rebuild, shape)
+    same = F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), 1, 16)  # rows of one id and text are alike
+    lines = _sharded(keyed_lines(docs, min_chars, same.alias("same")), shards)
+    maybe = probed(lines, build_filters(heavy), n, _salts(heavy, n)).where("maybe")
+    drops = maybe.join(heavy.select("key", "top_doc"), "key").where(F.col("doc") != F.col("top_doc"))
+    places = drops.groupBy("doc", "same").agg(F.array_sort(F.collect_set("n")).alias("gone"))  # at most a text's lines
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_key().alias("doc"), same.alias("same"))
+    joined = rows.join(places.hint("shuffle_hash"), ["doc", "same"], "left").select("row", split_lines(F.col("row.text")).alias("lines"), "gone")
+    before = F.concat(F.array(F.lit(-1)), "gone")
+    gaps = F.arrays_zip(before.alias("a"), F.concat("gone", F.array(F.size("lines"))).alias("b"))
+    kept = F.flatten(F.transform(gaps, lambda g: F.slice("lines", g["a"] + 2, g["b"] - g["a"] - 1)))
+    text = F.when(F.col("gone").isNull(), F.coalesce("row.text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    return joined.select("row", text.alias("text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+
+
+def drop_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, shards: int | None = None) -> DataFrame:
+    """docs' columns with ``text`` cleaned; all others are as they were."""
+    done = cleaned(docs, min_docs, min_chars, shards)
+    return done.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def _salts(heavy: DataFrame, n: int) -> DataFrame:
@@ -271,39 +293,9 @@ def _salts(heavy: DataFrame, n: int) -> DataFrame:
     return loads.select("shard", F.ceil(F.col("load") / max(1024, 4 * total // n)).cast("int").alias("salts"))
 
 
-def _screen(lines: DataFrame, filters: DataFrame, salts: DataFrame, n: int) -> DataFrame:
-    """The lines (doc, key) that their shard's filter may hold. A shard's filter meets its lines in one partition for each salt, as a row
-    that sorts before them; lines stream past it, so a very frequent key costs no memory. A shard without a filter has no heavy keys."""
-    shape = "shard int, salt int, blob binary, doc long, key binary"
-    salts = F.broadcast(salts)  # a row a shard at most, as many as shuffle partitions
-    held = filters.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "blob", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("binary").alias("key"))
-    asked = lines.join(salts, "shard").select("shard", F.pmod(F.xxhash64("doc"), "salts").cast("int").alias("salt"), F.lit(None).cast("binary").alias("blob"), "doc", "key")
-    rows = held.unionByName(asked)
-    target = arrow_schema(lines.sparkSession, "doc long, key binary")
-
-    def probe(batches):
-        shard, now = None, None
-        for batch in batches:
-            shards, keys = (np.asarray(batch.column("shard")).astype(np.int64) << 32) | np.asarray(batch.column("salt")), batch.column("key")
-            edges = np.flatnonzero(np.diff(shards)) + 1
-            for a, b in zip([0, *edges], [*edges, len(shards)], strict=True):
-                if a == b:
-                    continue
-                if shards[a] != shard:
-                    shard, now = shards[a], None
-                if (blob := batch.column("blob")[int(a)].as_py()) is not None:
-                    now, a = CuckooFilter.load(blob), a + 1
-                if now is not None and a < b:
-                    part = batch.slice(int(a), int(b - a))
-                    seen = now.has(_hashes(keys.slice(int(a), int(b - a)).to_pylist()))
-                    yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("key")], schema=target).filter(pa.array(seen))
-
-    return rows.repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("blob").isNull()).select(*(c.split()[0] for c in shape.split(", "))).mapInArrow(probe, "doc long, key binary")
-
-
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = drop_lines(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    done = cleaned(table(spark, sf_dir, "documents"))
+    return done.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 OP10_SQL = r"""
