@@ -3,17 +3,20 @@
 Every window owns one anchor (see ``anchors``), so equal windows meet wherever their anchors do. Windows of one anchor occurrence form
 a *run*; its tokens are the run's text.
 
-1. ``found``: each task folds equal runs of its own documents to the first, and deals the rest by anchor, packed per bucket. There,
-   equal runs are folded again: all but the first are removed whole. First runs whose anchor has other texts too are *asked* for.
-2. ``matched``: the asked runs' texts go to shards by anchor, where a string index finds the windows that they share. An anchor with
-   more than ``HOT`` different runs is cut into single windows instead, which fold by their hashes, so no shard grows with it.
-3. ``spans``: all removed spans by document.
+1. ``found``: each task folds equal runs of its own documents to the first (equal by anchor and a 128-bit BLAKE2 digest of their
+   bytes), and deals the rest by anchor, packed per bucket. Runs whose anchor occurs again are *asked* for. Hashes only say who meets.
+2. ``matched``: the asked runs' texts go to shards by anchor, where a string index over the texts themselves finds the windows that they
+   share, also those of equal runs of different tasks.
+3. The runs of a hot anchor (of more than ``HOT`` different texts, or ``TASK_HOT`` in one task) are cut into single windows, which take
+   the same two steps under a hash of their own; so no bucket and no shard grows with a frequent passage.
+4. ``removed``: all removed spans by document.
 
 "Earlier" is a smaller document key, or the same document and an earlier start.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,20 +32,43 @@ from stagegraph.llm.common import arrow_schema, partitions, pieces, record, utf8
 from stagegraph.llm.tokens import blocks, mix, span_hashes
 
 HOT = 2048  # different runs of one anchor
+TASK_HOT = 256  # the same among HELD runs of a task
 SHARD_TOKENS = 1 << 20  # tokens of a shard's index
 HELD = 1 << 20  # runs that a task folds at once
 FOUND = "doc long, lo long, hi long, anchor long, ask int"
 SPAN, ASK, CUT = 0, 1, 2
 
 
+@dataclass(frozen=True)
+class Tokens:
+    """The tokens of joined texts: their hashes, the texts' n + 1 offsets in tokens, the bytes, and each token's place there (None: a
+    token is a byte)."""
+
+    values: np.ndarray
+    bounds: np.ndarray
+    data: bytes
+    start: np.ndarray | None = None
+    end: np.ndarray | None = None
+
+    def cut(self, lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
+        """The bytes of tokens lo to hi, hi excluded, of none of which there are none."""
+        if self.start is not None:
+            lo, hi = self.start[lo], self.end[hi - 1]
+        return [self.data[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+
+    def digests(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        made = hashlib.blake2b
+        return np.frombuffer(b"".join([made(x, digest_size=16).digest() for x in self.cut(lo, hi)]), dtype="<u8").reshape(-1, 2)
+
+
 @dataclass(frozen=True)
 class Windows:
     """What counts as a token, how long a window is, and how a shard finds equal windows."""
 
     width: int
     gram: int
-    tokens: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]  # texts -> token values, the n + 1 offsets of the texts
-    match: Callable[[list[np.ndarray], int], list[np.ndarray]]  # texts of runs in order, width -> for each its window starts that occur earlier
+    tokens: Callable[[list[bytes]], Tokens]
+    match: Callable[[list[bytes], int], list[np.ndarray]]  # texts of runs in order, width -> for each its window starts that occur earlier
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -56,33 +82,44 @@ def keyed(docs: DataFrame) -> DataFrame:
     return written(docs.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"))
 
 
-def _runs(batches, windows: Windows) -> Iterator[tuple[np.ndarray, ...]]:
-    """(doc, anchor, text hash, first window, windows) of the runs of about HELD runs at a time."""
+def _held(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs together, about HELD at a time."""
     held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size > HELD:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _runs(batches, windows: Windows) -> Iterator[tuple[np.ndarray, ...]]:
+    """(doc, anchor, digest, first window, windows) of the runs of some texts at a time."""
     for batch in pieces(batches):
         keys, texts = batch.column("key").to_numpy(), utf8(batch.column("text").to_pylist())
         for at, some in blocks(texts, 1 << 19):
-            values, bounds = windows.tokens(some)
-            doc, anchor, first, count = owned_runs(values, bounds, windows.gram, windows.width)
-            start = bounds[doc] + first
-            held.append((keys[at + doc], anchor, span_hashes(values, start, start + count + windows.width - 1), first, count))
-            size += len(doc)
-            if size > HELD:
-                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                held, size = [], 0
-    if size:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            t = windows.tokens(some)
+            doc, anchor, first, count = owned_runs(t.values, t.bounds, windows.gram, windows.width)
+            start = t.bounds[doc] + first
+            yield keys[at + doc], anchor, t.digests(start, start + count + windows.width - 1), first, count
 
 
 def _fold(doc, anchor, text, first, count):
     """The runs in the order of (anchor, text, doc, first), and which are the first of their text."""
-    order = np.lexsort((first, doc, text, anchor))
+    order = np.lexsort((first, doc, text[:, 1], text[:, 0], anchor))
     doc, anchor, text, first, count = (x[order] for x in (doc, anchor, text, first, count))
     new = np.ones(len(doc), dtype=bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]).any(axis=1)
     return (doc, anchor, text, first, count), new
 
 
+def _groups(anchor: np.ndarray) -> np.ndarray:
+    """Numbers of the groups of equal neighbours."""
+    return np.cumsum(np.concatenate((np.zeros(min(1, len(anchor)), dtype=np.int64), anchor[1:] != anchor[:-1])))
+
+
 def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans with those of a document that touch made one."""
     order = np.lexsort((lo, doc))
@@ -98,31 +135,42 @@ def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
 
 
 def found(docs: DataFrame, windows: Windows) -> DataFrame:
-    """FOUND rows: removed spans of whole runs, and the runs to ask for."""
+    """FOUND rows: spans of runs that a task has met before, and the runs to ask for."""
     return _folded(docs.select("key", "text"), lambda batches: _runs(batches, windows), windows.width)
 
 
-def _folded(rows: DataFrame, runs_of: Callable, width: int) -> DataFrame:
-    """FOUND rows of the runs that ``runs_of`` yields from batches of rows, by two folds: in each task, and in each bucket of anchors."""
+def _folded(rows: DataFrame, runs_of: Callable, width: int, cut: bool = True) -> DataFrame:
+    """FOUND rows of the runs that ``runs_of`` yields from batches of rows, by a fold in each task and a look at each anchor's runs in
+    its bucket. Without ``cut`` no anchor is hot."""
     spark, n = rows.sparkSession, partitions(rows)
-    buckets = 4 * n
-    piece, target = arrow_schema(spark, "bucket int, local boolean, data binary"), arrow_schema(spark, FOUND)
+    buckets, hot, task_hot = 4 * n, HOT if cut else np.inf, TASK_HOT if cut else np.inf
+    piece, target = arrow_schema(spark, "bucket int, ask int, data binary"), arrow_schema(spark, FOUND)
+    plain = lambda doc, first, count: [doc.view(np.uint64), first.astype(np.uint32), count.astype(np.uint32)]
 
     def dealt(batches):
         task = TaskContext.get().partitionId()
-        for runs in runs_of(batches):
+        for runs in _held(runs_of(batches)):
             (doc, anchor, text, first, count), new = _fold(*runs)
             again = _merged(doc[~new], first[~new], (first + count + width - 1)[~new])
-            packed = [(task % buckets, True, pack([again[0].view(np.uint64), again[1].astype(np.uint32), again[2].astype(np.uint32)]))] if len(again[0]) else []
+            packed = [(task % buckets, SPAN, pack(plain(again[0], again[1], again[2] - again[1])))] if len(again[0]) else []
             doc, anchor, text, first, count = (x[new] for x in (doc, anchor, text, first, count))
+            group = _groups(anchor)
+            many = np.bincount(group)[group] >= task_hot
+            if many.any():  # their bucket only learns that they are hot: an anchor without runs
+                packed.append((task % buckets, CUT, pack(plain(doc[many], first[many], (count + width - 1)[many]))))
+                one = np.flatnonzero(many & np.concatenate(([True], anchor[1:] != anchor[:-1])))
+                count = np.where(many, 0, count)
+                keep = ~many
+                keep[one] = True
+                doc, anchor, text, first, count = (x[keep] for x in (doc, anchor, text, first, count))
             bucket = (mix(anchor) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.unique(bucket):
                 at = order[edges[b] : edges[b + 1]]
-                packed.append((int(b), False, pack([anchor[at], text[at], doc[at].view(np.uint64), first[at].astype(np.uint32), count[at].astype(np.uint32)])))
+                packed.append((int(b), ASK, pack([anchor[at], text[at, 0].astype(np.uint32), *plain(doc[at], first[at], count[at])])))
             for i in range(0, len(packed), 64):
-                yield record(dict(zip(("bucket", "local", "data"), zip(*packed[i : i + 64], strict=True), strict=True)), piece)
+                yield record(dict(zip(("bucket", "ask", "data"), zip(*packed[i : i + 64], strict=True), strict=True)), piece)
 
     def out(doc, lo, hi, anchor, ask):
         for i in range(0, len(doc), 1 << 16):
@@ -131,21 +179,22 @@ def _folded(rows: DataFrame, runs_of: Callable, width: int) -> DataFrame:
 
     def bucket_rows(blobs):
         anchor, text, doc, first, count = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
-        (doc, anchor, text, first, count), new = _fold(doc.view(np.int64), anchor, text, first.astype(np.int64), count.astype(np.int64))
-        group = np.cumsum(np.concatenate(([0], anchor[1:] != anchor[:-1])))
-        texts = np.bincount(group, weights=new)[group]
-        ask = np.where(new, np.where(texts > HOT, CUT, ASK), SPAN)
-        keep = ~new | (texts > 1)
+        order = np.lexsort((text, anchor))
+        anchor, text, doc, first, count = (x[order] for x in (anchor, text, doc.view(np.int64), first.astype(np.int64), count.astype(np.int64)))
+        group, other = _groups(anchor), np.ones(len(anchor), dtype=bool)
+        other[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+        told = np.bincount(group, weights=count == 0)[group] > 0
+        ask = np.where(told | (np.bincount(group, weights=other)[group] > hot), CUT, ASK)
+        keep = (np.bincount(group)[group] > 1) & (count > 0)
         yield from out(doc[keep], first[keep], (first + count + width - 1)[keep], anchor.view(np.int64)[keep], ask[keep])
 
     def folded(batches):
         bucket, blobs = None, []
         for batch in batches:
-            for b, local, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if local:
-                    doc, lo, hi = unpack(data)
-                    nothing = np.zeros(len(doc), dtype=np.int64)
-                    yield from out(doc.view(np.int64), lo.astype(np.int64), hi.astype(np.int64), nothing, nothing)
+            for b, ask, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ask != ASK:
+                    doc, lo, size = unpack(data)
+                    yield from out(doc.view(np.int64), lo.astype(np.int64), lo.astype(np.int64) + size, np.zeros(len(doc), dtype=np.int64), np.full(len(doc), ask))
                     continue
                 if b != bucket and blobs:
                     yield from bucket_rows(blobs)
@@ -155,7 +204,7 @@ def _folded(rows: DataFrame, runs_of: Callable, width: int) -> DataFrame:
         if blobs:
             yield from bucket_rows(blobs)
 
-    sent = rows.mapInArrow(dealt, "bucket int, local boolean, data binary")
+    sent = rows.mapInArrow(dealt, "bucket int, ask int, data binary")
     return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(folded, FOUND)
 
 
@@ -181,24 +230,20 @@ PIECES = "shard int, doc long, lo long, data binary"
 
 
 def matched(docs: DataFrame, asked: DataFrame, windows: Windows) -> DataFrame:
-    """(doc, lo, hi): spans of windows that asked runs share, without those of hot anchors."""
+    """(doc, lo, hi): spans of windows that asked runs share with an earlier one."""
     spark, width = docs.sparkSession, windows.width
-    asked = asked.where(F.col("ask") == ASK)
     size = asked.agg(F.coalesce(F.sum(F.col("hi") - F.col("lo")), F.lit(0)).alias("n")).first().n
     shards = max(1, -(-4 * size // SHARD_TOKENS))
 
     def emit(key, text, lo, hi, anchor):
-        values, _ = windows.tokens(utf8([text]))
-        data = [values[a:b].tobytes() for a, b in zip(lo, hi, strict=True)]
+        data = windows.tokens(utf8([text])).cut(np.array(lo), np.array(hi))
         yield {"shard": (mix(np.array(anchor, dtype=np.int64).view(np.uint64)) % np.uint64(shards)).astype(np.int64), "doc": [key] * len(lo), "lo": lo, "data": data}
 
     target = arrow_schema(spark, "doc long, lo long, hi long")
-    kind = windows.tokens([b"a"])[0].dtype
 
     def shard(t: pa.Table) -> pa.Table:
         t = t.combine_chunks().sort_by([("doc", "ascending"), ("lo", "ascending")])
-        texts = [np.frombuffer(x, dtype=kind) for x in t.column("data").to_pylist()]
-        starts = windows.match(texts, width)
+        starts = windows.match(t.column("data").to_pylist(), width)
         doc = np.repeat(t.column("doc").to_numpy(), list(map(len, starts)))
         lo = np.repeat(t.column("lo").to_numpy(), list(map(len, starts))) + np.concatenate([*starts, np.zeros(0, dtype=np.int64)])
         doc, lo, hi = _merged(doc, lo, lo + width)
@@ -207,37 +252,28 @@ def matched(docs: DataFrame, asked: DataFrame, windows: Windows) -> DataFrame:
     return _slices(docs, asked, emit, PIECES).groupBy("shard").applyInArrow(shard, "doc long, lo long, hi long")
 
 
-def cut_windows(docs: DataFrame, asked: DataFrame, windows: Windows) -> DataFrame:
-    """(doc, lo, hi): the same for the runs of hot anchors: each window is a run of its own, which equal ones fold into."""
+def cut_windows(docs: DataFrame, hot: DataFrame, windows: Windows) -> DataFrame:
+    """FOUND rows of the single windows of hot anchors' runs."""
     width = windows.width
 
     def runs(batches):
-        held, size = [], 0
         for batch in pieces(batches):
             for key, text, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "lo", "hi")), strict=True):
-                values, _ = windows.tokens(utf8([text]))
+                t = windows.tokens(utf8([text]))
                 at = np.concatenate([np.arange(a, b - width + 1) for a, b in zip(lo, hi, strict=True)])
-                held.append((np.full(len(at), key), span_hashes(values, at, at + width), span_hashes(mix(values.astype(np.uint64)), at, at + width), at, np.ones(len(at), dtype=np.int64)))
-                size += len(at)
-                if size > HELD:
-                    yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                    held, size = [], 0
-        if size:
-            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                yield np.full(len(at), key), span_hashes(t.values, at, at + width), t.digests(at, at + width), at, np.ones(len(at), dtype=np.int64)
 
-    return _folded(_with_asked(docs, asked.where(F.col("ask") == CUT)), runs, width).where(F.col("ask") == SPAN).select("doc", "lo", "hi")
+    return _folded(_with_asked(docs, hot), runs, width, cut=False)
 
 
 def removed(docs: DataFrame, windows: Windows) -> DataFrame:
     """(key, doc_id, text, lo array, hi array): docs (keyed) with the token spans to remove, unordered, or null."""
-    all_found = written(found(docs, windows))
-    kinds = {r.ask for r in all_found.select("ask").distinct().collect()}  # of three
-    spans = all_found.where(F.col("ask") == SPAN).select("doc", "lo", "hi")
-    if ASK in kinds:
-        spans = spans.unionByName(matched(docs, all_found, windows))
+    every = written(found(docs, windows))
+    kinds = {r.ask for r in every.select("ask").distinct().collect()}  # of three
     if CUT in kinds:
-        spans = spans.unionByName(cut_windows(docs, all_found, windows))
-    by_doc = spans.groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+        every = every.where(F.col("ask") != CUT).unionByName(written(cut_windows(docs, every.where(F.col("ask") == CUT), windows)))
+    spans = every.where(F.col("ask") == SPAN).select("doc", "lo", "hi").unionByName(matched(docs, every.where(F.col("ask") == ASK), windows))
+    by_doc = spans.groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))  # at most a text's tokens
     return docs.join(by_doc.hint("shuffle_hash"), docs["key"] == by_doc["doc"], "left").select("key", "doc_id", "text", "lo", "hi")
 
 

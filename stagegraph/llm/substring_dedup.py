@@ -6,27 +6,30 @@ counts how many words still occur elsewhere (the matching statistic, cut at the
 the interval of all its occurrences, and is reported unless it is the earliest of them.
 
 Defined cases: a null or empty text has no words; a text of fewer words than a window keeps all; rows that repeat a doc_id (or have
-none) are separate documents in the order of (doc_id, nulls first; text); further columns are ignored; a long text is whole.
+none) are separate documents in the order of (doc_id, nulls first; text); an empty table gives an empty result; further columns are
+ignored; a long text is whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from stagegraph.llm.common import arrow_schema, pieces, record, table, utf8
-from stagegraph.llm.repeats import Windows, gone, joined, keyed, ordered_suffixes, per_text, removed
+from stagegraph.llm.repeats import Tokens, Windows, gone, joined, keyed, ordered_suffixes, per_text, removed
 from stagegraph.llm.tokens import span_hashes, word_spans
 
 
-def word_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of texts, and the texts' offsets in words."""
-    data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+def word_tokens(texts: list[bytes]) -> Tokens:
+    data = b"\n".join(texts)
     ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
-    start, end = word_spans(data)
-    return span_hashes(data, start, end), np.concatenate(([0], np.searchsorted(start, ends)))
+    every = np.frombuffer(data, dtype=np.uint8)
+    start, end = word_spans(every)
+    return Tokens(span_hashes(every, start, end), np.concatenate(([0], np.searchsorted(start, ends))), data, start, end)
 
 
 class WaveletMatrix:
@@ -85,17 +88,16 @@ class FMIndex:
         return length, low, high
 
 
-def shared_windows(texts: list[np.ndarray], width: int) -> list[np.ndarray]:
-    """For each text, given in order, its starts of ``width`` words that an earlier start has too."""
+def shared_windows(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """For each text, given in order, its starts of ``width`` words that an earlier start has too. Words are numbered by their bytes."""
     if not texts:
         return []
-    hashes, starts = joined(texts, 0)
-    closing = np.zeros(len(hashes), dtype=bool)
-    closing[np.append(starts[1:], len(hashes)) - 1] = True
-    numbers = np.zeros(len(hashes), dtype=np.int64)
-    numbers[~closing] = np.unique(hashes[~closing], return_inverse=True)[1] + 1
+    known = defaultdict(count(1).__next__)
+    number = known.__getitem__
+    numbers, starts = joined([np.fromiter(map(number, words), dtype=np.int64, count=len(words)) for words in map(bytes.split, texts)], 0)
+    texts = np.diff(starts, append=len(numbers)) - 1
     index = FMIndex(numbers, width)
-    ends = np.concatenate([np.arange(s + width, s + len(t) + 1) for s, t in zip(starts.tolist(), texts, strict=True)])
+    ends = np.concatenate([np.arange(s + width, s + t + 1) for s, t in zip(starts.tolist(), texts.tolist(), strict=True)])
     hits = []
     for i in range(0, len(ends), 1 << 16):
         some = ends[i : i + (1 << 16)]

@@ -6,7 +6,8 @@ of length l that ends at a place not marked before shows a common prefix of exac
 common prefixes come by increasing value, and the expansion stops at the minimum length: suffixes with no mark between them share it.
 
 Defined cases: a null or empty text has no bytes; a text shorter than the minimum length keeps all; rows that repeat a doc_id (or have
-none) are separate documents in the order of (doc_id, nulls first; text); further columns are ignored; a long text is whole.
+none) are separate documents in the order of (doc_id, nulls first; text); an empty table gives an empty result; further columns are
+ignored; a long text is whole.
 """
 
 from __future__ import annotations
@@ -17,14 +18,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from stagegraph.llm.common import arrow_schema, pieces, record, table, utf8
-from stagegraph.llm.repeats import Windows, gone, joined, keyed, later_ones, ordered_suffixes, per_text, removed
+from stagegraph.llm.repeats import Tokens, Windows, gone, joined, keyed, later_ones, ordered_suffixes, per_text, removed
 
 SENTINEL = 0xFF  # no byte of UTF-8
 
 
-def byte_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def byte_tokens(texts: list[bytes]) -> Tokens:
     bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))))
-    return np.frombuffer(b"".join(texts), dtype=np.uint8), bounds
+    data = b"".join(texts)
+    return Tokens(np.frombuffer(data, dtype=np.uint8), bounds, data)
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -72,11 +74,11 @@ def expand(transform: np.ndarray, least: int, sentinel: int) -> np.ndarray:
     return marks
 
 
-def shared_windows(texts: list[np.ndarray], width: int) -> list[np.ndarray]:
+def shared_windows(texts: list[bytes], width: int) -> list[np.ndarray]:
     """For each text, given in order, its starts of ``width`` bytes that an earlier start has too."""
     if not texts:
         return []
-    whole, starts = joined(texts, SENTINEL)
+    whole, starts = joined([np.frombuffer(t, dtype=np.uint8) for t in texts], SENTINEL)
     order = suffix_order(whole, width)
     marks = expand(whole[order - 1], width, SENTINEL)
     group = np.cumsum(marks[:-1])

@@ -28,9 +28,10 @@ def brute(seqs, width):
     return out
 
 
-@pytest.mark.parametrize("hot", [2048, 1])
+@pytest.mark.parametrize("hot", [(2048, 256), (1, 256), (2048, 2)])
 def test_bytes_by_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "HOT", hot[0])
+    monkeypatch.setattr(repeats, "TASK_HOT", hot[1])
     docs = [(d, t.encode()) for d, t in ordered(rows())]
     wanted = []
     for (d, t), off in zip(docs, brute([t for _, t in docs], 100), strict=True):
@@ -40,9 +41,10 @@ def test_bytes_by_brute_force(spark, monkeypatch, hot):
     assert sorted((repr(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), bytes(r.text)) for r in got) == sorted(wanted)
 
 
-@pytest.mark.parametrize("hot", [2048, 1])
+@pytest.mark.parametrize("hot", [(2048, 256), (1, 256), (2048, 2)])
 def test_words_by_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "HOT", hot[0])
+    monkeypatch.setattr(repeats, "TASK_HOT", hot[1])
     docs = [(d, t.encode().split()) for d, t in ordered(rows())]
     wanted = []
     for (d, t), off in zip(docs, brute([t for _, t in docs], 20), strict=True):
@@ -83,9 +85,8 @@ def test_shard_indexes_agree_with_brute_force(seed):
                 hits.append(i)
             seen.add(k)
         wanted.append(hits)
-    texts_long = [t.astype(np.uint64) for t in texts]
-    assert [x.tolist() for x in suffix_dedup.shared_windows(texts, 8)] == wanted
-    assert [x.tolist() for x in substring_dedup.shared_windows(texts_long, 8)] == wanted
+    assert [x.tolist() for x in suffix_dedup.shared_windows([t.tobytes() for t in texts], 8)] == wanted
+    assert [x.tolist() for x in substring_dedup.shared_windows([" ".join(map(str, t)).encode() for t in texts], 8)] == wanted
 
 
 def test_common_prefixes_come_by_increasing_value():
@@ -103,3 +104,23 @@ def test_wavelet_rank():
     tree = substring_dedup.WaveletMatrix(s, 36)
     at, symbol = rng.integers(0, 1001, 300), rng.integers(0, 37, 300)
     assert tree.rank(symbol, at).tolist() == [int((s[:a] == c).sum()) for a, c in zip(at, symbol, strict=True)]
+
+
+TWINS = "abfafabdgaaadcabaa", "daaiadaaaadaaabafe"  # the polynomial hash of tokens.span_hashes is the same for both
+
+
+@pytest.mark.parametrize("hot", [(2048, 256), (0, 256), (2048, 1)])
+def test_texts_whose_hashes_collide_stay(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot[0])
+    monkeypatch.setattr(repeats, "TASK_HOT", hot[1])
+    t = substring_dedup.word_tokens([" ".join(TWINS).encode()])
+    assert t.values[0] == t.values[1]
+    first = [f"word{i}" for i in range(19)]
+    for parts in (1, 2):
+        docs = spark.createDataFrame([(i, " ".join([*first, w])) for i, w in enumerate(TWINS)], "doc_id long, text string").repartition(parts)
+        assert [r.n_removed for r in substring_dedup.drop_repeats(docs).collect()] == [0, 0]
+    rng = np.random.default_rng(3)
+    for _ in range(2):
+        left = bytes(rng.integers(97, 123, 90).astype(np.uint8)).decode()
+        docs = spark.createDataFrame([(i, left + w) for i, w in enumerate(TWINS)], "doc_id long, text string").repartition(2)
+        assert [r.n_removed for r in suffix_dedup.drop_repeats(docs).collect()] == [0, 0]
