@@ -3,12 +3,13 @@
 Every window owns one anchor (see ``anchors``), so equal windows meet wherever their anchors do. Windows of one anchor occurrence form
 a *run*; its tokens are the run's text.
 
-1. ``found``: each task folds equal runs of its own documents to the first (equal by anchor and a 128-bit BLAKE2 digest of their
-   bytes), and deals the rest by anchor, packed per bucket. Runs whose anchor occurs again are *asked* for. Hashes only say who meets.
+1. ``found``: each task folds equal runs of its own documents to the first, and deals the rest by anchor, packed per bucket. There,
+   equal runs are folded again: all but the first are removed whole. Runs are equal by anchor and a 128-bit BLAKE2 digest of their
+   bytes; no two texts with one such digest are known. First runs whose anchor has other texts too are *asked* for.
 2. ``matched``: the asked runs' texts go to shards by anchor, where a string index over the texts themselves finds the windows that they
-   share, also those of equal runs of different tasks.
-3. The runs of a hot anchor (of more than ``HOT`` different texts, or ``TASK_HOT`` in one task) are cut into single windows, which take
-   the same two steps under a hash of their own; so no bucket and no shard grows with a frequent passage.
+   share.
+3. The runs of a hot anchor (of more than ``HOT`` different texts, or ``TASK_HOT`` in one task) are cut into single windows instead,
+   which fold by their digests; so no bucket and no shard grows with a frequent passage.
 4. ``removed``: all removed spans by document.
 
 "Earlier" is a smaller document key, or the same document and an earlier start.
@@ -135,13 +136,13 @@ def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
 
 
 def found(docs: DataFrame, windows: Windows) -> DataFrame:
-    """FOUND rows: spans of runs that a task has met before, and the runs to ask for."""
+    """FOUND rows: spans of runs that equal an earlier one, and the runs to ask for."""
     return _folded(docs.select("key", "text"), lambda batches: _runs(batches, windows), windows.width)
 
 
 def _folded(rows: DataFrame, runs_of: Callable, width: int, cut: bool = True) -> DataFrame:
-    """FOUND rows of the runs that ``runs_of`` yields from batches of rows, by a fold in each task and a look at each anchor's runs in
-    its bucket. Without ``cut`` no anchor is hot."""
+    """FOUND rows of the runs that ``runs_of`` yields from batches of rows, by two folds: in each task, and in each bucket of anchors.
+    Without ``cut`` no anchor is hot."""
     spark, n = rows.sparkSession, partitions(rows)
     buckets, hot, task_hot = 4 * n, HOT if cut else np.inf, TASK_HOT if cut else np.inf
     piece, target = arrow_schema(spark, "bucket int, ask int, data binary"), arrow_schema(spark, FOUND)
@@ -168,7 +169,7 @@ def _folded(rows: DataFrame, runs_of: Callable, width: int, cut: bool = True) ->
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.unique(bucket):
                 at = order[edges[b] : edges[b + 1]]
-                packed.append((int(b), ASK, pack([anchor[at], text[at, 0].astype(np.uint32), *plain(doc[at], first[at], count[at])])))
+                packed.append((int(b), ASK, pack([anchor[at], np.ascontiguousarray(text[at, 0]), np.ascontiguousarray(text[at, 1]), *plain(doc[at], first[at], count[at])])))
             for i in range(0, len(packed), 64):
                 yield record(dict(zip(("bucket", "ask", "data"), zip(*packed[i : i + 64], strict=True), strict=True)), piece)
 
@@ -178,14 +179,13 @@ def _folded(rows: DataFrame, runs_of: Callable, width: int, cut: bool = True) ->
             yield record({"doc": doc[s], "lo": lo[s], "hi": hi[s], "anchor": anchor[s], "ask": ask[s]}, target)
 
     def bucket_rows(blobs):
-        anchor, text, doc, first, count = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
-        order = np.lexsort((text, anchor))
-        anchor, text, doc, first, count = (x[order] for x in (anchor, text, doc.view(np.int64), first.astype(np.int64), count.astype(np.int64)))
-        group, other = _groups(anchor), np.ones(len(anchor), dtype=bool)
-        other[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+        anchor, *text, doc, first, count = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
+        (doc, anchor, text, first, count), new = _fold(doc.view(np.int64), anchor, np.column_stack(text), first.astype(np.int64), count.astype(np.int64))
+        group = _groups(anchor)
         told = np.bincount(group, weights=count == 0)[group] > 0
-        ask = np.where(told | (np.bincount(group, weights=other)[group] > hot), CUT, ASK)
-        keep = (np.bincount(group)[group] > 1) & (count > 0)
+        texts = np.bincount(group, weights=new)[group]
+        ask = np.where(told, CUT, np.where(new, np.where(texts > hot, CUT, ASK), SPAN))
+        keep = (~new | (texts > 1) | told) & (count > 0)
         yield from out(doc[keep], first[keep], (first + count + width - 1)[keep], anchor.view(np.int64)[keep], ask[keep])
 
     def folded(batches):
@@ -253,7 +253,7 @@ def matched(docs: DataFrame, asked: DataFrame, windows: Windows) -> DataFrame:
 
 
 def cut_windows(docs: DataFrame, hot: DataFrame, windows: Windows) -> DataFrame:
-    """FOUND rows of the single windows of hot anchors' runs."""
+    """(doc, lo, hi): spans of the hot anchors' single windows that equal an earlier one."""
     width = windows.width
 
     def runs(batches):
@@ -263,16 +263,19 @@ def cut_windows(docs: DataFrame, hot: DataFrame, windows: Windows) -> DataFrame:
                 at = np.concatenate([np.arange(a, b - width + 1) for a, b in zip(lo, hi, strict=True)])
                 yield np.full(len(at), key), span_hashes(t.values, at, at + width), t.digests(at, at + width), at, np.ones(len(at), dtype=np.int64)
 
-    return _folded(_with_asked(docs, hot), runs, width, cut=False)
+    return _folded(_with_asked(docs, hot), runs, width, cut=False).where(F.col("ask") == SPAN).select("doc", "lo", "hi")
 
 
 def removed(docs: DataFrame, windows: Windows) -> DataFrame:
     """(key, doc_id, text, lo array, hi array): docs (keyed) with the token spans to remove, unordered, or null."""
     every = written(found(docs, windows))
     kinds = {r.ask for r in every.select("ask").distinct().collect()}  # of three
+    asked = lambda kind: every.where(F.col("ask") == kind)
+    spans = asked(SPAN).select("doc", "lo", "hi")
+    if ASK in kinds:
+        spans = spans.unionByName(matched(docs, asked(ASK), windows))
     if CUT in kinds:
-        every = every.where(F.col("ask") != CUT).unionByName(written(cut_windows(docs, every.where(F.col("ask") == CUT), windows)))
-    spans = every.where(F.col("ask") == SPAN).select("doc", "lo", "hi").unionByName(matched(docs, every.where(F.col("ask") == ASK), windows))
+        spans = spans.unionByName(cut_windows(docs, asked(CUT), windows))
     by_doc = spans.groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))  # at most a text's tokens
     return docs.join(by_doc.hint("shuffle_hash"), docs["key"] == by_doc["doc"], "left").select("key", "doc_id", "text", "lo", "hi")
 
