@@ -2,13 +2,21 @@
 
 A page becomes a tree. Each paragraph earns points for itself, its length and its commas, and passes them to its ancestors, less with
 each step; a container's points are discounted by its link density. The best container and those of its siblings that look like text
-are kept; their blocks are the page's main text.
+are kept; their blocks are the page's main text. Inside an article the article is the container, and all of its text is kept.
 
-Left out before scoring: elements that are furniture by name, role or class (menus, headers, footers, sidebars, notices, adverts,
-forms, comments of readers), hidden elements, scripts and styles, and lists or sections that are mostly links.
+Left out before scoring:
 
-Defined cases: a null or empty page has an empty text; markup that is cut off or badly nested is read as far as it goes; a page without
-any paragraph is scored by its other blocks; repeated rows each have their row; further columns are ignored; pages are whole.
+* always: scripts, styles, navigation, footers, asides, controls, dialogs and hidden elements;
+* as furniture: forms, headers of the page, and elements whose role, class or id names furniture (menus, banners, sidebars, notices,
+  adverts, comments of readers). A class counts if it is such a word or has one as a part (``site-header``), but not after ``has-``,
+  ``no-`` and the like. An element that holds most of the page's text is no furniture but a wrapper and stays; what it holds is judged
+  again. For a class that is the word itself nearly nothing may be left beside it, and the element must have headings or paragraphs;
+* lists of bare links at the start or the end of what is kept.
+
+Defined cases: a null or empty page has an empty text, and so has a page of furniture only; markup that is cut off or badly nested is
+read as far as it goes, a quote that is never closed ends with its tag; elements nested deeper than ``DEEPEST`` are siblings of each other;
+a page without any paragraph is scored by its other blocks; repeated rows each have their row; an empty table gives an empty result;
+further columns are ignored; pages are whole at any length.
 """
 
 from __future__ import annotations
@@ -21,97 +29,101 @@ from pyspark.sql import functions as F
 
 from stagegraph.llm.common import arrow_schema, pieces, record, table
 
-# Element names of HTML by their part in a page.
+# Element names of HTML by their part in a page, and words that name furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
-FURNITURE = frozenset("nav footer aside form button select input textarea label fieldset script style noscript template iframe object embed canvas svg math dialog menu head title audio video".split())
+NEVER = frozenset("nav footer aside button select input textarea label script style noscript template iframe object embed canvas svg math dialog menu head title audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-CONTAINERS = frozenset("div section article main body #root".split())
+CONTAINERS = frozenset("div section article main body form #root".split())
 DEEPEST = 256
 CLOSES_P = BLOCK - frozenset("html body tbody td tfoot th thead tr caption".split())
-WORDS = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|promotion|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|sidebar|side|navs?|navbar|navigation|menus?|breadcrumbs?|footer|foot|header|masthead|topbar|comments?|commentlist|respond|disqus|replies|reply|share|sharing|social|related|recommended|recommendations|widgets?|pagination|pager|toolbar|search|skip|hidden)(?=$|[-_\s\d])",
-    re.IGNORECASE,
+WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login sidebar side nav navs navbar navigation menu menus breadcrumb breadcrumbs footer foot header masthead topbar share sharing social related recommended recommendations widget widgets pagination pager toolbar search skip hidden".split()
 )
+READERS = frozenset("comment comments commentlist respond disqus replies reply".split())
+MODIFIERS = ("has-", "no-", "with-", "without-", "is-", "not-", "hide-", "show-", "has_", "no_", "with_", "without_")
+PLAIN, PART, WHOLE, COMMENTS, HIDDEN = range(5)  # how sure it is that an element is furniture
+NEARLY_NOTHING = 200  # characters
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)", re.DOTALL)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_QUOTED = r"\"[^\"]*\"|'[^']*'"
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[\s/]+|=?[^\s/>=]+(?:\s*=\s*(?:{_QUOTED}|(?![\"'])[^\s>]+))?|=)*+)(?:>|\Z)", re.DOTALL)
+_ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
 class Node:
-    __slots__ = ("name", "children", "parent", "depth", "points", "size", "linked", "blocky")
+    __slots__ = ("name", "children", "parent", "depth", "points", "size", "linked", "blocky", "mark", "rich")
 
-    def __init__(self, name: str, parent: Node | None):
-        self.name, self.parent = name, parent
+    def __init__(self, name: str, parent: Node | None, mark: int = PLAIN):
+        self.name, self.parent, self.mark = name, parent, mark
         self.depth = parent.depth + 1 if parent else 0
         self.children: list[Node | str] = []
         self.points = 0.0
-        self.size = self.linked = 0
+        self.size = self.linked = self.rich = 0
         self.blocky = False
 
+    def prose(self) -> int:
+        return self.size - self.linked
+
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)}
 
 
-def _is_furniture(name: str, attrs: dict[str, str], inside_article: bool) -> bool:
-    if name in ("html", "body", "article", "main"):
-        return "hidden" in attrs
-    if name in FURNITURE or (name == "header" and not inside_article):
-        return True
-    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in ROLES:
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.IGNORECASE):
-        return True
-    return bool(WORDS.search(attrs.get("class", "")) or WORDS.search(attrs.get("id", "")))
+def _word_mark(names: str) -> int:
+    mark = PLAIN
+    for token in names.lower().split():
+        if token.startswith(MODIFIERS):
+            continue
+        if token in READERS:
+            return COMMENTS
+        parts = {token} if token in WORDS else set(re.split(r"[-_\d]+", token))
+        if token in WORDS or parts & WORDS or parts & READERS:
+            mark = max(mark, WHOLE if token in WORDS else PART)
+    return mark
+
+
+def _mark(name: str, attrs: dict[str, str], inside_article: bool) -> int:
+    if name in NEVER or "hidden" in attrs or _HIDES.search(attrs.get("style", "")):
+        return HIDDEN
+    if name in ("html", "body", "main"):
+        return PLAIN
+    mark = max(_word_mark(attrs.get("class", "")), _word_mark(attrs.get("id", "")))
+    if name == "article":
+        return mark if mark == COMMENTS else PLAIN
+    if name == "header" and not inside_article or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in ROLES:
+        mark = max(mark, WHOLE)
+    return max(mark, PART) if name in ("form", "fieldset") else mark
 
 
 def parse(page: str) -> Node:
-    """The tree of a page without furniture."""
+    """The tree of a page, furniture marked; hidden elements hang nowhere."""
     root = Node("#root", None)
-    at, place, skipped, articles = root, 0, 0, 0  # skipped: open elements of a left-out subtree
-
-    def text(raw: str) -> None:
-        if raw and not skipped:
-            at.children.append(html.unescape(raw))
-
-    open_skipped: list[str] = []
+    at, place, articles = root, 0, 0
     while m := _TAG.search(page, place):
-        text(page[place : m.start()])
+        if place < m.start():
+            at.children.append(html.unescape(page[place : m.start()]))
         place = m.end()
-        name = (m["name"] or "").lower()
-        if m["cdata"] and not skipped:
+        if m["cdata"]:
             at.children.append(m["cdata"])
+        name = (m["name"] or "").lower()
         if not name:
             continue
         if m["close"]:
-            if skipped:
-                if name in open_skipped:
-                    while open_skipped.pop() != name:
-                        pass
-                    skipped = len(open_skipped)
-                elif _is_open(at, name) and name in ("body", "html", "article", "main", "section", "div") and not open_skipped[0] == name:
-                    open_skipped.clear()  # the left-out element was never closed
-                    skipped = 0
-            if not skipped and _is_open(at, name):
+            if _is_open(at, name, stop=frozenset() if name in BLOCK else BLOCK):
                 while at.name != name:
                     articles -= at.name in ("article", "main")
                     at = at.parent
                 articles -= at.name in ("article", "main")
                 at = at.parent
             continue
-        raw_text = name in RAW and not m["attrs"].endswith("/")
-        if raw_text:
+        closed = m["attrs"].endswith("/")
+        if name in RAW and not closed:
             end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.IGNORECASE).search(page, place)
             place = end.end() if end else len(page)
             continue
-        if skipped:
-            if name not in VOID and not m["attrs"].endswith("/"):
-                open_skipped.append(name)
-                skipped += 1
-            continue
         if name in VOID:
             if name == "hr":
                 at.children.append(Node("hr", at))
@@ -129,19 +141,17 @@ def parse(page: str) -> Node:
                         while at.name != one:
                             at = at.parent
                         at = at.parent
-        attrs = _attributes(m["attrs"]) if m["attrs"] else {}
-        if _is_furniture(name, attrs, articles > 0):
-            if not m["attrs"].endswith("/"):
-                open_skipped.append(name)
-                skipped = 1
-            continue
+        mark = _mark(name, _attributes(m["attrs"]) if m["attrs"] else {}, articles > 0)
         if at.depth >= DEEPEST:  # deeper elements are its children, one after another
             at = at.parent
-        node = Node(name, at)
-        at.children.append(node)
-        articles += name in ("article", "main")
-        at = node
-    text(page[place:])
+        node = Node(name, at, mark)
+        if mark != HIDDEN:
+            at.children.append(node)
+        if not closed or name in BLOCK:
+            articles += name in ("article", "main")
+            at = node
+    if place < len(page):
+        at.children.append(html.unescape(page[place:]))
     return root
 
 
@@ -154,19 +164,43 @@ def _is_open(at: Node, name: str, stop: frozenset[str] = frozenset()) -> bool:
 
 
 def _measure(root: Node) -> list[Node]:
-    """Text lengths, overall and in links, of each node; the nodes, parents first."""
+    """Text lengths, overall and in links, of each node, and its headings and paragraphs; the nodes, parents first."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack += [c for c in reversed(node.children) if isinstance(c, Node)]
     for node in reversed(order):
-        node.size = sum(c.size if isinstance(c, Node) else len(" ".join(c.split())) for c in node.children)
-        node.blocky = any(isinstance(c, Node) and (c.name in BLOCK or c.blocky) for c in node.children)
-        node.linked = node.size if node.name == "a" else sum(c.linked for c in node.children if isinstance(c, Node))
+        inner = [c for c in node.children if isinstance(c, Node)]
+        node.size = sum(c.size for c in inner) + sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+        node.blocky = any(c.name in BLOCK or c.blocky for c in inner)
+        node.linked = node.size if node.name == "a" else sum(c.linked for c in inner)
+        own = 2 if node.name in ("article", "main", "h1", "h2") else 1 if node.name in ("p", "pre", "blockquote") and node.prose() > 20 else 0
+        node.rich = own + sum(c.rich for c in inner)
     return order
 
 
+def _without_furniture(root: Node) -> None:
+    """Take marked elements off the tree, but for those that wrap most of the page's text."""
+    _measure(root)
+    while True:
+        tops, stack = [], [root]
+        while stack:
+            for c in stack.pop().children:
+                if isinstance(c, Node):
+                    (tops if c.mark else stack).append(c)
+        if not tops:
+            return
+        big = max(tops, key=Node.prose)
+        beside = root.prose() - sum(c.prose() for c in tops)
+        least = big.prose() / 4 if big.mark == PART else min(NEARLY_NOTHING, big.prose() / 4) if big.mark == WHOLE else 0.5
+        if big.rich < 2 or beside >= least:
+            break
+        big.mark = PLAIN
+    for c in tops:
+        c.parent.children.remove(c)
+
+
 def _density(node: Node) -> float:
     return node.linked / node.size if node.size else 0.0
 
@@ -198,11 +232,34 @@ def score(order: list[Node]) -> list[Node]:
     return sorted(found.values(), key=lambda n: (-n.points * (1 - _density(n)), place[id(n)]))
 
 
+def _within(node: Node, names: tuple[str, ...]) -> Node | None:
+    while node is not None and node.name not in names:
+        node = node.parent
+    return node
+
+
+def _reads_like_text(node: Node) -> bool:
+    return node.prose() > 0 and _density(node) < 0.25 and (node.size > 80 or _text(node).rstrip().endswith((".", "!", "?", "\u2026", ":", '"', "\u201d")))
+
+
+def _container(best: Node) -> Node:
+    """The article that the best container lies in, or it itself, or an ancestor that joins it with other large pieces of text."""
+    found = _within(best, ("article",)) or _within(best, ("main",))
+    if found is not None:
+        return found
+    while best.parent is not None and best.parent.name not in ("body", "html", "#root"):
+        others = [c for c in best.parent.parent.children if isinstance(c, Node) and c is not best.parent] if best.parent.parent is not None else []
+        if not any(_density(c) < 0.25 and 4 * c.prose() > best.prose() for c in others):
+            break
+        best = best.parent
+    return best
+
+
 def _siblings(best: Node) -> list[Node]:
     """The best container and its siblings that read like text, in page order."""
     if best.parent is None:
         return [best]
-    least = max(5.0, 0.25 * best.points * (1 - _density(best)))
+    least = 0.25 * best.points * (1 - _density(best))
     kept, elements = [], [c for c in best.parent.children if isinstance(c, Node)]
     at = elements.index(best)
     while at and elements[at - 1].name in HEADINGS:  # headings right before it are its own
@@ -212,46 +269,57 @@ def _siblings(best: Node) -> list[Node]:
         if c is best:
             kept.append(c)
         elif isinstance(c, Node):
-            own = c.points * (1 - _density(c))
-            prose = c.name == "p" and _density(c) < 0.25 and (c.size > 80 or (c.size and _text(c).rstrip().endswith((".", "!", "?"))))
-            if own >= least or prose or (c.name == "h1" and c.size) or c in titles:
+            prose = c.name in ("p", "pre", "blockquote", "div", "section") and _reads_like_text(c)
+            if c.points * (1 - _density(c)) >= least > 0 or prose or (c.name == "h1" and c.size) or c in titles:
                 kept.append(c)
     return kept
 
 
-def _blocks(node: Node, out: list[list[str]]) -> None:
+def _is_menu(node: Node, inside_article: bool) -> bool:
+    """A list of bare links; outside of an article any block of links."""
+    if inside_article:
+        return node.name in ("ul", "ol") and _density(node) > 0.9 and node.size <= 20 * max(1, sum(isinstance(c, Node) for c in node.children))
+    return node.name in ("ul", "ol", "dl", "table", "section", "div") and _density(node) > 0.6
+
+
+def _blocks(node: Node, out: list[tuple[list[str], bool]], inside_article: bool, menu: bool = False) -> None:
+    """(pieces of text, whether of a menu) of each block."""
     if node.name == "header":  # of an article: its headings only
         for c in node.children:
             if isinstance(c, Node) and (c.name in HEADINGS or c.name in ("hgroup", "div")):
-                _blocks(c, out)
-        return
-    if node.name in ("ul", "ol", "dl", "table", "section", "div") and node.size and _density(node) > 0.6:
+                _blocks(c, out, inside_article, menu)
         return
+    menu = menu or (node.size > 0 and _is_menu(node, inside_article))
     block = node.name in BLOCK
     if block:
-        out.append([])
+        out.append(([], menu))
     for c in node.children:
         if isinstance(c, Node):
-            _blocks(c, out)
+            _blocks(c, out, inside_article, menu)
         else:
-            out[-1].append(c)
+            out[-1][0].append(c)
     if block:
-        out.append([])
+        out.append(([], menu))
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    order = _measure(root)
-    ranked = score(order)
+    _without_furniture(root)
+    ranked = score(_measure(root))
     if not ranked:
         return ""
-    out: list[list[str]] = [[]]
-    for node in _siblings(ranked[0]):
-        _blocks(node, out)
-    lines = (" ".join("".join(x).split()) for x in out)
-    return "\n".join(x for x in lines if x)
+    best = _container(ranked[0])
+    out: list[tuple[list[str], bool]] = [([], False)]
+    for node in _siblings(best):
+        _blocks(node, out, _within(node, ("article", "main")) is not None)
+    lines = [(text, menu) for x, menu in out if (text := " ".join("".join(x).split()))]
+    while lines and lines[0][1]:
+        lines.pop(0)
+    while lines and lines[-1][1]:
+        lines.pop()
+    return "\n".join(text for text, _ in lines)
 
 
 def extract(pages: DataFrame) -> DataFrame:
