@@ -9,15 +9,20 @@
 A word thus crosses the shuffle once for each run that has it, however often it occurs, and no partition holds more than a bucket's
 distinct words. Decoding joins the token-byte table, whose size is that of the vocabulary and is fixed.
 
-Defined cases: a null text is empty and has no ids; equal rows give equal results; further columns are ignored; a text of any length
-is a run of its own at most.
+Words are split with the classes of characters that the library's own tables give (see ``splitter``).
+
+Defined cases: a null text is empty and has no ids; a null id stays null; equal rows give equal results; an empty table gives an empty
+result; further columns are ignored; a text of any length is a run of its own at most.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import re
 from collections import defaultdict
+from functools import cache
 from itertools import count
 
 import numpy as np
@@ -46,9 +51,45 @@ def _encoder(pattern: str, ranks: dict[bytes, int], kept: dict = {}):  # noqa: B
     return kept["made"]
 
 
+def library_class(atom: str) -> frozenset[str]:
+    """The characters that the library's own tables put in a class such as \\p{L}; its release of Unicode need not be that of ``regex``."""
+    import tiktoken
+
+    every = "".join(map(chr, itertools.chain(range(0xD800), range(0xE000, 0x110000))))
+    single = tiktoken.Encoding("class", pat_str=atom, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    return frozenset(bytes(single.encode_ordinary(every)).decode())
+
+
+@cache
+def splitter(pattern: str):
+    """A function that splits a text as the library would. ``regex`` does it, but characters that the two put in different classes are
+    first replaced, place by place, by characters of the class that the library gives them."""
+    find, atoms = regex.compile(pattern), sorted({x[:2].lower() + x[2:] for x in re.findall(r"\\[pP]\{[^}]*\}|\\[swdSWD]", pattern)})  # a class and its complement differ alike
+    every = "".join(map(chr, itertools.chain(range(0xD800), range(0xE000, 0x110000))))
+    theirs, ours = [library_class(a) for a in atoms], [frozenset(regex.findall(a, every)) for a in atoms]
+    odd = frozenset().union(*(a ^ b for a, b in zip(theirs, ours, strict=True)))
+    if not odd:
+        return find.findall
+    kinds = {c: tuple(c in x for x in theirs) for c in odd}
+    standins, wanted = {}, set(kinds.values())
+    for c in map(chr, range(0xA1, 0x3000)):
+        kind = tuple(c in x for x in theirs)
+        if c not in odd and kind in wanted and c not in pattern and c.lower() == c.upper():
+            standins.setdefault(kind, c)
+    table = {ord(c): standins[k] for c, k in kinds.items()}
+    maybe = re.compile(f"[{re.escape(''.join(sorted(c for c in odd if c < chr(0x10000))))}\U00010000-\U0010ffff]").search  # a bitmap
+
+    def split(text: str) -> list[str]:
+        if text.isascii() or not maybe(text) or odd.isdisjoint(text):
+            return find.findall(text)
+        return [text[m.start() : m.end()] for m in find.finditer(text.translate(table))]
+
+    return split
+
+
 def _chunks(batches, pattern: str, chunk_words: int):
     """(run id, doc ids, word numbers, words of each document, distinct words)."""
-    find, run = regex.compile(pattern).findall, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+    find, run = splitter(pattern), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
 
     def fresh():
         return [], [], [], defaultdict(count().__next__)
@@ -110,9 +151,11 @@ def _unpack_bytes(blob: bytes) -> list[bytes]:
 PIECE = "chunk long, bucket int, data binary"
 
 
-def encode(docs: DataFrame, path: str, pattern: str, buckets: int = 256, chunk_words: int = 1_000_000) -> DataFrame:
-    """(doc_id, ids array<int>) of docs' doc_id and text by the ranks in the file ``path``."""
+def encode(docs: DataFrame, path: str, pattern: str, buckets: int | None = None, chunk_words: int = 1_000_000) -> DataFrame:
+    """(doc_id, ids array<int>) of docs' doc_id and text by the ranks in the file ``path``. ``buckets`` of distinct words: by default
+    four for each shuffle partition, 256 at least."""
     spark = docs.sparkSession
+    buckets = buckets or max(256, 4 * partitions(docs))
     docs = docs.select("doc_id", "text")
     ranks = spark.sparkContext.broadcast(load_ranks(path))  # a vocabulary: of fixed size
     piece, done = arrow_schema(spark, PIECE), arrow_schema(spark, "doc_id long, ids array<int>")
