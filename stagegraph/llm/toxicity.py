@@ -5,15 +5,16 @@ is the sum over j of P(severity > j).
 
 The model is fitted on a bounded sample of labelled documents (at most ``MOST``, by a hash of the id). In it,
 
-* the vocabulary is every word whose document frequency differs between toxic and clean documents (chi-square of at least ``CHI`` in the
-  toxic direction, in ``SUPPORT`` documents at least);
-* where labels only say toxic or not, a toxic document's grade is how many different such words it has: up to one, up to three, more.
+* the vocabulary is every word of which a smoothed log-odds ratio of toxic against clean documents lies above ``LEAST`` even at its lower
+  bound (``Z`` standard errors), in ``SUPPORT`` toxic documents at least; more labels make the bound tighter, not the measure larger;
+* a document's grade comes from both its labels, and from no feature: 0 neither toxic nor of low quality, 1 of low quality, 2 toxic.
 
 Everything else reads every document. ``x`` holds log(1 + count) of each word of the vocabulary.
 
-Defined cases: a null or empty text has no features, so its severity is that of the intercept; labels that are null or belong to no
-document are left out; a doc_id with several labels counts each; with no toxic or no clean label nothing is toxic; repeated rows each
-have their row; further columns are ignored.
+Defined cases: a null or empty text has no features, so its severity is that of the intercept; labels whose toxic or doc_id is null, or
+that belong to no document, are left out, a null quality is not low; a doc_id with several labels counts each; with no toxic or no clean
+label nothing is toxic; repeated rows each have their row; an empty table gives an empty result; further columns are ignored; a text of
+any length is read whole.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from stagegraph.llm.common import arrow_schema, pieces, record, table
 
 MOST = 20_000
-CHI, SUPPORT = 30.0, 3
-GRADES = 3  # above clean
+LEAST, Z, SUPPORT = 1.5, 1.64, 3
+GRADES = 2  # above clean; the last is toxic
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -57,9 +58,10 @@ class OrdinalModel:
         return list(counts), [float(np.log1p(c)) for c in counts.values()]
 
 
-def fit(vocabulary: dict[str, int], rows: list[tuple[list[int], list[float]]], grades: np.ndarray, n_grades: int = GRADES, decay: float = 1e-3, rate: float = 0.1, rounds: int = 400) -> OrdinalModel:
+def fit(vocabulary: dict[str, int], rows: list[tuple[list[int], list[float]]], grades: np.ndarray, n_grades: int | None = None, decay: float = 1e-3, rate: float = 0.1, rounds: int = 400) -> OrdinalModel:
     """Maximum likelihood by Adam on all rows; thresholds are a first one and positive steps, so they stay ordered."""
     n = len(grades)
+    n_grades = n_grades or max(GRADES, int(grades.max(initial=0)))
     at = np.repeat(np.arange(n), [len(i) for i, _ in rows])
     column = np.array([j for i, _ in rows for j in i], dtype=np.int64)
     value = np.array([x for _, v in rows for x in v])
@@ -92,50 +94,52 @@ def fit(vocabulary: dict[str, int], rows: list[tuple[list[int], list[float]]], g
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST) -> DataFrame:
-    """(doc_id, text, toxic) of at most ``most`` labelled documents."""
-    some = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most)
+    """(doc_id, text, grade) of at most ``most`` labelled documents."""
+    grade = F.when(F.col("toxic") > 0, GRADES).when(F.col("quality") <= 0, 1).otherwise(0)
+    some = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long"), grade.alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(most)
     return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(some), "doc_id")  # bounded by ``most``
 
 
-def chosen_words(sample: DataFrame, chi: float = CHI, support: int = SUPPORT) -> list[str]:
-    """Words more frequent in toxic documents, by chi-square of document frequencies."""
+def chosen_words(sample: DataFrame, least: float = LEAST, z: float = Z, support: int = SUPPORT) -> list[str]:
+    """Words more frequent in toxic documents, by the lower bound of their log-odds ratio."""
     target = arrow_schema(sample.sparkSession, "word string, toxic long, clean long")
 
     def count(batches):
         for batch in pieces(batches):
             seen = [Counter(), Counter()]
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                seen[toxic <= 0].update(set(words(text)))
+            for text, grade in zip(batch.column("text").to_pylist(), batch.column("grade").to_pylist(), strict=True):
+                seen[grade < GRADES].update(set(words(text)))
             every = list(seen[0] | seen[1])
             yield record({"word": every, "toxic": [seen[0][w] for w in every], "clean": [seen[1][w] for w in every]}, target)
 
-    totals = sample.agg(F.count_if(F.col("toxic") > 0).alias("t"), F.count_if(F.col("toxic") <= 0).alias("c")).first()
+    totals = sample.agg(F.count_if(F.col("grade") == GRADES).alias("t"), F.count_if(F.col("grade") < GRADES).alias("c")).first()
     if not totals.t or not totals.c:
         return []
     t, c = F.lit(float(totals.t)), F.lit(float(totals.c))
-    by_word = sample.select("text", "toxic").mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    score = (t + c) * F.pow(a * (c - b) - b * (t - a), 2) / ((a + b) * (t + c - a - b) * t * c)
-    return [r.word for r in by_word.where((a >= support) & (a * c > b * t) & (a + b < t + c) & (score >= chi)).orderBy("word").collect()]
+    by_word = sample.select("text", "grade").mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    cells = [x + 0.5 for x in (F.col("a"), t - F.col("a"), F.col("b"), c - F.col("b"))]
+    ratio = F.log(cells[0] / cells[1]) - F.log(cells[2] / cells[3])
+    error = F.sqrt(sum((1 / x for x in cells[1:]), 1 / cells[0]))
+    return [r.word for r in by_word.where((F.col("a") >= support) & (ratio - z * error >= least)).orderBy("word").collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST) -> OrdinalModel:
     sample = labelled(docs, labels, most)
     vocabulary = {w: i for i, w in enumerate(chosen_words(sample))}
     blank = OrdinalModel(vocabulary, np.zeros(len(vocabulary)), np.zeros(GRADES))
-    shape = "toxic int, at array<int>, value array<double>"
+    shape = "grade int, at array<int>, value array<double>"
     target = arrow_schema(docs.sparkSession, shape)
 
     def sparse(batches):
         for batch in pieces(batches):
             rows = [blank.features(x) for x in batch.column("text").to_pylist()]
-            yield record({"toxic": batch.column("toxic"), "at": [i for i, _ in rows], "value": [v for _, v in rows]}, target)
+            yield record({"grade": batch.column("grade"), "at": [i for i, _ in rows], "value": [v for _, v in rows]}, target)
 
-    found = sample.select("text", "toxic").mapInArrow(sparse, shape).collect()  # at most ``most`` rows of vocabulary words
-    found.sort(key=lambda r: (r.toxic, r.at, r.value))
+    found = sample.select("text", "grade").mapInArrow(sparse, shape).collect()  # at most ``most`` rows of vocabulary words
+    found.sort(key=lambda r: (r.grade, r.at, r.value))
     rows = [(r.at, r.value) for r in found]
-    grades = np.array([0 if r.toxic <= 0 else 1 if len(r.at) <= 1 else 2 if len(r.at) <= 3 else 3 for r in found], dtype=np.int64)
-    if not (grades > 0).any() or (grades > 0).all():
+    grades = np.array([r.grade for r in found], dtype=np.int64)
+    if not (grades == GRADES).any() or (grades == GRADES).all():
         return OrdinalModel({}, np.zeros(0), np.full(GRADES, 50.0))
     return fit(vocabulary, rows, grades)
 
@@ -144,7 +148,7 @@ SCORED = "doc_id long, expected_severity double, grade int, toxic boolean"
 
 
 def severity(docs: DataFrame, model: OrdinalModel, reject: float = 0.5) -> DataFrame:
-    """SCORED for each row of docs; toxic where P(severity > 0) is at least ``reject``; grade is the likeliest one."""
+    """SCORED for each row of docs; toxic where the last grade has a probability of at least ``reject``; grade is the likeliest one."""
     shared, target = docs.sparkSession.sparkContext.broadcast(model), arrow_schema(docs.sparkSession, SCORED)
 
     def score(batches):
@@ -152,7 +156,7 @@ def severity(docs: DataFrame, model: OrdinalModel, reject: float = 0.5) -> DataF
         for batch in pieces(batches):
             above = model.above([model.features(x) for x in batch.column("text").to_pylist()])
             each = -np.diff(np.column_stack((np.ones(len(above)), above, np.zeros(len(above)))), axis=1)
-            yield record({"doc_id": batch.column("doc_id"), "expected_severity": above.sum(axis=1).round(9), "grade": each.argmax(axis=1), "toxic": above[:, 0] >= reject}, target)
+            yield record({"doc_id": batch.column("doc_id"), "expected_severity": above.sum(axis=1).round(9), "grade": each.argmax(axis=1), "toxic": above[:, -1] >= reject}, target)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, SCORED)
 
@@ -165,7 +169,7 @@ def accepted(docs: DataFrame, model: OrdinalModel, reject: float = 0.5) -> DataF
         model = shared.value
         for batch in pieces(batches):
             above = model.above([model.features(x) for x in batch.column("text").to_pylist()])
-            yield batch.filter(pa.array(above[:, 0] < reject))
+            yield batch.filter(pa.array(above[:, -1] < reject))
 
     return docs.mapInArrow(keep, docs.schema)
 
