@@ -2,7 +2,7 @@
 
 A record is a row (record_id, warc_type, refers_to, target_uri, warc_date, headers, block): ``headers`` holds the named WARC fields in
 order, ``block`` the bytes of the record. ``responses`` makes response records of pages; ``parse_records`` reads the records of WARC
-files (whole gzip or plain files, as ``binaryFile`` rows); ``derive`` is the builder; ``to_bytes`` gives each record's wire form and
+files (gzip or plain, as ``binaryFile`` rows); ``derive`` is the builder; ``to_bytes`` gives each record's wire form and
 ``write`` stores them as WARC files.
 
 For each response, ``derive`` gives
@@ -16,7 +16,8 @@ Both name the response in WARC-Refers-To with its URI and date, keep its target
 that a repeated run gives the same records.
 
 Defined cases: a null or empty page is a response with an empty body; a null url is an empty target; rows that repeat give equal
-records each; a body that is not UTF-8 is read with replacement; records of other types pass ``derive`` by; further columns are ignored.
+records each; a body that is not UTF-8 is read with replacement; records of other types pass ``derive`` by; a file that is cut off ends
+with its last whole record; an empty table gives no records; further columns are ignored; pages of any length are whole.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagegraph.llm.common import arrow_schema, pieces, record, table
+from stagegraph.llm.common import arrow_schema, pieces, record, shared_dir, table
 
 RECORD = "record_id string, warc_type string, refers_to string, target_uri string, warc_date string, headers array<struct<name:string,value:string>>, block binary"
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:stagegraph:warc")
@@ -149,45 +151,75 @@ def write(records: DataFrame, path: str) -> None:
     to_bytes(records, compress=False).select(F.col("data").cast("string")).write.text(path)
 
 
-def parse(data: bytes):
-    """The records of a WARC file: (named fields, block); a record that is cut off ends it."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)]
-        named = {k.lower(): v for k, v in fields}
-        length = named.get("content-length", "")
-        if not length.isdigit() or end + 4 + int(length) > len(data):
+def _inflated(data: bytes, step: int = 1 << 20):
+    """The bytes of a plain or gzip file, ``step`` at a time; a gzip member that is cut off or damaged ends them."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[i : i + step] for i in range(0, len(data), step))
+        return
+    at, member = 0, zlib.decompressobj(31)
+    while at < len(data):
+        part = data[at : at + step]
+        try:
+            yield member.decompress(part)
+        except zlib.error:
             return
-        at = end + 4 + int(length)
-        yield fields, data[end + 4 : at]
+        at += len(part) - len(member.unused_data)
+        if member.eof:
+            member = zlib.decompressobj(31)
+
+
+def parse(data: bytes):
+    """The records of a WARC file: (named fields, block); a record that is cut off ends it. Only what is left of the record at hand and
+    the next block of the file are held."""
+    held = bytearray()
+    for some in _inflated(data):
+        held += some
+        at = 0
+        while (start := held.find(b"WARC/", at)) >= 0:
+            at, end = start, held.find(b"\r\n\r\n", start)
+            if end < 0:
+                break
+            lines = held[start:end].decode("utf-8", "replace").split("\r\n")[1:]
+            fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)]
+            length = {k.lower(): v for k, v in fields}.get("content-length", "")
+            if not length.isdigit():
+                return
+            if end + 4 + int(length) > len(held):
+                break
+            at = end + 4 + int(length)
+            yield fields, bytes(held[end + 4 : at])
+        del held[: at if start >= 0 else max(at, len(held) - 4)]
 
 
 def parse_records(files: DataFrame) -> DataFrame:
-    """RECORD rows of WARC files; ``files`` has their bytes in ``content``, as Spark's binaryFile source gives them."""
+    """RECORD rows of WARC files; ``files`` has their bytes in ``content``, as Spark's binaryFile source gives them. Records come out in
+    batches of bounded size."""
     target = arrow_schema(files.sparkSession, RECORD)
     own_names = ("warc-type", "warc-record-id", "warc-target-uri", "warc-date")
+    made = lambda rows: record(dict(zip(target.names, zip(*rows, strict=True), strict=True)), target)
 
     def run(batches):
-        for batch in pieces(batches):
-            for data in batch.column("content").to_pylist():
-                rows = []
-                for fields, block in parse(data or b""):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows, size = [], 0
+                for fields, block in parse(batch.column("content")[i].as_py() or b""):
                     named = {k.lower(): v for k, v in fields}
                     rows.append((named.get("warc-record-id"), named.get("warc-type"), named.get("warc-refers-to"), named.get("warc-target-uri", ""), named.get("warc-date"), [{"name": k, "value": v} for k, v in fields if k.lower() not in own_names], block))
+                    size += len(block)
+                    if size > 4 << 20:
+                        yield made(rows)
+                        rows, size = [], 0
                 if rows:
-                    yield record(dict(zip(target.names, zip(*rows, strict=True), strict=True)), target)
+                    yield made(rows)
 
     return files.select("content").mapInArrow(run, RECORD)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived records of all pages, with the block as text."""
-    made = derive(responses(table(spark, sf_dir, "pages")))
+    """The derived records of all pages, with the block as text. The pages are first stored as WARC files of responses, which are then
+    read as any others."""
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write(responses(table(spark, sf_dir, "pages")), folder)
+    made = derive(parse_records(spark.read.format("binaryFile").load(folder)))
     value = lambda name: F.get(F.filter("headers", lambda h: h["name"] == name), 0)["value"]
     return made.select("record_id", "warc_type", "refers_to", "target_uri", "warc_date", value("X-Source-Payload-Digest").alias("source_digest"), value("WARC-Block-Digest").alias("block_digest"), value("X-Source-Content-Type").alias("source_content_type"), value("Content-Length").cast("long").alias("content_length"), F.col("block").cast("string").alias("block"))

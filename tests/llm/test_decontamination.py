@@ -63,3 +63,91 @@ def test_capitalised_words_at_the_start_of_sentences(spark):
     got = found(spark, docs, items)
     assert set(got) == {(1, 1), (3, 1), (4, 2), (5, 2), (6, 3)}
     assert got[(1, 1)].n_changed == 3 and got[(3, 1)].n_changed == got[(4, 2)].n_changed == 0 and got[(5, 2)].n_changed == got[(6, 3)].n_changed == 1
+
+
+def test_cases_of_an_earlier_review(spark):
+    items = [(1, "What is the capital of Burkina Faso"), (2, "Evaluate 3 + 4 * 5 - 6 / 2 exactly"), (3, "A bag holds 3 red balls and 5 blue balls so how many balls are in the bag")]
+    docs = [(1, "Q: What is the capital of Burkina Faso", "", ""), (2, "Evaluate 3 + 4 * 5 - 6 / 2 exactly", "", ""), (3, "A bag holds 9 red balls and 9 blue balls so how many balls are in the bag", "", ""), (4, "A bag of rice is what the capital needs exactly", "", "")]
+    assert set(found(spark, docs, items)) == {(1, 1), (2, 2), (3, 3)}
+
+
+def brute(docs, items, width=8, least=0.6, run=20):
+    """The same rule, window by window in plain Python."""
+    import itertools
+
+    from stagegraph.llm.decontamination import LITERALS, NAME, NUMBER, Canon
+
+    canon = Canon()
+
+    def windows(text, w):
+        """(place, readings): for each window its literal words, and (template, slot values, plainly) of its readings."""
+        values, literal, slot, begins, number, _ = canon.templates([(text or "").encode()])
+        name = [f"slot {NAME}"]
+        words = [canon.plain[i] for i in number]
+        shown = [(f"slot {canon.kind[i]}" if s else canon.plain[i]) for i, s in zip(number, slot, strict=True)]
+        for at in range(len(words) - w + 1):
+            span = range(at, at + w)
+            open_ = [i for i in span if begins[i]]
+            readings = []
+            for names in itertools.product((False, True), repeat=len(open_)):
+                as_name = {i for i, n in zip(open_, names, strict=True) if n}
+                slots = [i for i in span if slot[i] or i in as_name]
+                if w - len(slots) >= LITERALS:
+                    readings.append((tuple(name[0] if i in as_name else shown[i] for i in span), [words[i] for i in slots], not as_name, len(as_name) in (0, len(open_))))
+            yield at, tuple(words[at : at + w]), readings
+
+    assert NUMBER
+    for (d, dt), (i, it) in itertools.product(docs, items):
+        n = len(canon.templates([(it or "").encode()])[4])
+        w = min(width, n)
+        if w < 2:
+            continue
+        aligned, mine = {}, list(windows(it, w))
+        for (p, words, readings), (q, others, their) in itertools.product(windows(dt, w), mine):
+            if words == others:
+                aligned.setdefault((0, p - q), []).append((q, []))
+            for (t, s, plain, ends), (u, v, first, _) in itertools.product(readings, their):
+                if t == u and ends:
+                    for reading in (1, 2) if plain and first else (2,):
+                        aligned.setdefault((reading, p - q), []).append((q, list(zip(v, s, strict=True))))
+        covered = set()
+        for hits in aligned.values():
+            pairs = {x for _, some in hits for x in some}
+            if len(pairs) == len({a for a, _ in pairs}):
+                covered |= {t for q, _ in hits for t in range(q, q + w)}
+        if covered and (len(covered) / n >= least or len(covered) >= run):
+            yield d, i, len(covered)
+
+
+def test_templates_by_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    names, units, words = ["Alice", "Bob", "Carol", "Dan"], ["km", "kg", "miles"], [f"w{i}" for i in range(12)]
+
+    def sentence(n):
+        out = []
+        while len(out) < n:
+            kind = rng.random()
+            out += [rng.choice(names)] if kind < 0.2 else [str(rng.randrange(4)), rng.choice(units)] if kind < 0.3 else [str(rng.randrange(30))] if kind < 0.4 else [rng.choice(words) + rng.choice(["", "", "", "."])]
+        return out
+
+    def changed(text):
+        swap = dict(zip(names, rng.sample(names, 4), strict=True)) if rng.random() < 0.5 else {}
+        number = {str(i): str(rng.randrange(5) if rng.random() < 0.5 else i) for i in range(30)}
+        return [number.get(x, swap.get(x, x)) if rng.random() < 0.97 else rng.choice(words) for x in text]
+
+    items = [(i, sentence(rng.choice([3, 6, 9, 15, 30]))) for i in range(25)]
+    docs = [(100 + i, sentence(rng.randrange(6)) + changed(rng.choice(items)[1]) + sentence(rng.randrange(6))) for i in range(80)]
+    items, docs = ([(i, " ".join(t)) for i, t in some] for some in (items, docs))
+    wanted = sorted(brute(docs, items))
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_covered) for r in got) == wanted and 60 < len(wanted) < len(docs) * len(items)
+
+
+def test_long_texts_ties_and_clashing_columns(spark):
+    long = " ".join(f"word{i}" for i in range(2_000))
+    docs = spark.createDataFrame([(1, f"{long} {ITEM} " + "other words " * 200_000, "a", 1, "x"), (2, f"{ITEM} {ITEM}", "b", 2, "y"), (2, ITEM, "b", 2, "y")], "doc_id long, text string, coverage string, n_windows int, reading string")
+    items = spark.createDataFrame([(1, ITEM, 5, "a", "z"), (1, ITEM, 5, "a", "z"), (2, ITEM, 6, "b", "z"), (3, long, 7, "c", "z"), (None, ITEM, 8, "d", "z")], "item_id long, text string, n_tokens int, h string, literal string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in contaminated(docs, items).collect()}
+    assert got == {(d, i): 1.0 for d in (1, 2) for i in (1, 2, None)} | {(1, 3): 1.0}
