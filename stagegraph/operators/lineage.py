@@ -71,13 +71,21 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(inside.select(F.col("dst").alias("node")), "node", "left_anti")
 
 
-def max_timestamps(nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(node, max_ts): the latest of a node's own time and those of all its ancestors, a level at a time from the roots."""
-    now = nodes.select("node", "ts").withColumn("max_ts", F.col("ts"))
-    for _ in range(depth):
-        above = edges.join(now.select(F.col("node").alias("src"), F.col("max_ts").alias("up")), "src").groupBy(F.col("dst").alias("node")).agg(F.max("up").alias("up"))
-        now = settled(now.join(above, "node", "left").select("node", "ts", F.greatest("max_ts", "up").alias("max_ts")))
-    return now.select("node", "max_ts")
+def max_timestamps(nodes: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, max_ts): the latest of a node's own time and those of all its ancestors. A level carries on only the times that are later
+    than the own one of the node they reach; others have been carried on by that node. It ends when no time is carried on."""
+    own = nodes.select("node", "ts")
+    carried, risen, level = own.select(F.col("node").alias("src"), F.col("ts").alias("up")), None, 0
+    while depth is None or level < depth:
+        above = edges.join(carried, "src").groupBy(F.col("dst").alias("node")).agg(F.max("up").alias("up"))
+        later = settled(own.join(above, "node").where(F.col("ts").isNull() | (F.col("up") > F.col("ts"))).select("node", "up"))
+        if later.isEmpty():
+            break
+        risen = later if risen is None else risen.unionByName(later)
+        carried, level = later.select(F.col("node").alias("src"), "up"), level + 1
+    if risen is None:
+        return own.select("node", F.col("ts").alias("max_ts"))
+    return own.join(risen.groupBy("node").agg(F.max("up").alias("up")), "node", "left").select("node", F.greatest("ts", "up").alias("max_ts"))
 
 
 def is_newer(max_ts: Column, ts: Column, stopped: Column, created: Column) -> Column:
@@ -87,27 +95,40 @@ def is_newer(max_ts: Column, ts: Column, stopped: Column, created: Column) -> Co
     return F.when(max_ts < ts, False).when(max_ts > ts, True).when(unknown(stopped), True).when(unknown(created), False).otherwise(stopped >= created)
 
 
-def up_to_date(nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+def up_to_date(nodes: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, fresh) of ``nodes(node, ts, file_exists, cleaned[, stop_ms, create_ms])``.
 
     A node with a newer input is stale; else it is fresh if it exists, and stale if it is missing and was not cleaned; a cleaned one is
-    as fresh as its outputs, all of which must be, and stale without any. Decided from the deepest level up.
+    as fresh as its outputs, all of which must be, and stale without any. Only cleaned nodes without a newer input are left open by
+    their own state; a level looks at the edges out of open nodes alone.
     """
     have = nodes
     for c in ("stop_ms", "create_ms"):
         if c not in have.columns:
             have = have.withColumn(c, F.lit(0).cast("long"))
     latest = max_timestamps(nodes, edges, depth)
-    up = have.join(latest, "node").select(F.col("node").alias("src"), F.col("max_ts").alias("in_ts"), F.col("stop_ms").alias("in_stop"))
-    newer = edges.join(up, "src").join(have.select(F.col("node").alias("dst"), "ts", "create_ms"), "dst").where(is_newer(F.col("in_ts"), F.col("ts"), F.col("in_stop"), F.col("create_ms"))).select(F.col("dst").alias("node")).distinct().withColumn("newer", F.lit(True))
-    own = have.join(newer, "node", "left").select("node", F.when(F.col("newer"), False).when(F.col("file_exists"), True).when(~F.col("cleaned"), False).alias("fresh"))  # null: up to the outputs
-    parents = edges.select("src").distinct().withColumnRenamed("src", "node").withColumn("has_outputs", F.lit(True))
-    own = own.join(parents, "node", "left").withColumn("fresh", F.when(F.col("fresh").isNull() & F.col("has_outputs").isNull(), False).otherwise(F.col("fresh"))).select("node", "fresh")
-    own = settled(own)
-    for _ in range(depth):
-        below = edges.join(own.select(F.col("node").alias("dst"), F.col("fresh").alias("f")), "dst").groupBy(F.col("src").alias("node")).agg(F.count_if(F.col("f") == F.lit(False)).alias("stale"), F.count_if(F.col("f").isNull()).alias("open"))
-        own = settled(own.join(below, "node", "left").select("node", F.when(F.col("fresh").isNotNull(), F.col("fresh")).when(F.col("stale") > 0, False).when(F.col("open") == 0, True).alias("fresh")))
-    return own.select("node", F.coalesce("fresh", F.lit(False)).alias("fresh"))
+    up = have.select("node", F.col("stop_ms").alias("in_stop")).join(latest, "node").select(F.col("node").alias("src"), F.col("max_ts").alias("in_ts"), "in_stop")
+    # an input is newer if one with its time and the most telling stop is: none known, or the latest
+    telling = F.struct("in_ts", F.when(F.coalesce("in_stop", F.lit(0)) == 0, F.lit(2**63 - 1)).otherwise(F.col("in_stop")).alias("in_stop"))
+    into = edges.join(up, "src").groupBy(F.col("dst").alias("node")).agg(F.max(telling).alias("newest"))
+    stop = F.when(F.col("newest.in_stop") < 2**63 - 1, F.col("newest.in_stop"))
+    newer = F.col("newest").isNotNull() & is_newer(F.col("newest.in_ts"), F.col("ts"), stop, F.col("create_ms"))
+    state = F.when(F.coalesce(newer, F.lit(False)), False).when(F.col("file_exists"), True).when(~F.col("cleaned"), False)
+    own = settled(have.join(into, "node", "left").select("node", state.alias("fresh")))  # null: up to the outputs
+    still = own.where("fresh IS NULL").select(F.col("node").alias("src"))
+    below = settled(edges.join(still, "src", "left_semi").join(own.select(F.col("node").alias("dst"), F.col("fresh").alias("f")), "dst"))
+    known = None
+    while True:
+        votes = below.groupBy(F.col("src").alias("node")).agg(F.count_if(F.col("f") == F.lit(False)).alias("stale"), F.count_if(F.col("f").isNull()).alias("open"))
+        now = settled(votes.select("node", F.when(F.col("stale") > 0, False).when(F.col("open") == 0, True).alias("said")).where("said IS NOT NULL"))
+        if now.isEmpty():
+            break
+        known = now if known is None else known.unionByName(now)
+        rest = below.join(now.select(F.col("node").alias("src")), "src", "left_anti")
+        below = settled(rest.join(now.select(F.col("node").alias("dst"), "said"), "dst", "left").select("src", "dst", F.coalesce("f", "said").alias("f")))
+    if known is None:
+        return own.select("node", F.coalesce("fresh", F.lit(False)).alias("fresh"))
+    return own.join(known, "node", "left").select("node", F.coalesce("fresh", "said", F.lit(False)).alias("fresh"))
 
 
 def cleanup_candidates(nodes: DataFrame, edges: DataFrame) -> DataFrame:

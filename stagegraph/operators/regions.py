@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,49 +48,62 @@ def whole_chromosomes(labels: DataFrame, sizes: DataFrame) -> DataFrame:
     return labels.join(sizes, "chr", "left").withColumn("region", F.coalesce(text("chr", F.lit(0), "size"), "chr"))
 
 
-def split_sequential(bed: DataFrame, parts: int, max_distance: int, by: list[str] | None = None) -> DataFrame:
+def split_sequential(bed: DataFrame, parts: int, max_distance: int) -> DataFrame:
     """Parts of about total / ``parts``, in order of (chr, start). A part ends at a change of chromosome, at a gap of more than
     ``max_distance``, or when full: an interval that overfills a part of at least three quarters by more than a quarter is cut where
-    the part is full. The running size starts anew on each chromosome, so chromosomes are scanned in parallel.
+    the part is full. The running size starts anew at each such gap, so the spans between gaps, found by an ordered window, are scanned
+    apart from each other; a part's number is that in its span after the parts of the spans before.
     """
     total = bed.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("n")).first().n
     target = max(1, total // parts)
+    line = Window.partitionBy("chr").orderBy("start", "end")
+    rows = bed.select("chr", F.col("start").cast("long"), F.col("end").cast("long"))
+    gap = F.coalesce(F.col("start") - F.lag("end").over(line) > max_distance, F.lit(False)).cast("int")
+    spans = rows.withColumn("gap", gap).select("chr", "start", "end", F.sum("gap").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("span"))
+
+    def scan(batches):
+        now, held, part = None, 0, 0
+        for rows in batches:
+            out = []
+            for *key, start, end in rows.itertuples(index=False):
+                if key != now:
+                    now, held, part = key, 0, 0
+                while True:
+                    size = end - start
+                    if held * 4 < target * 3:
+                        out.append((*key, part, start, end))
+                        held += size
+                    elif (held + size) * 4 <= target * 5:
+                        out.append((*key, part, start, end))
+                        part, held = part + 1, 0
+                    elif 0 < target - held < size:
+                        cut = start + target - held
+                        out.append((*key, part, start, cut))
+                        part, held, start = part + 1, 0, cut
+                        continue
+                    else:
+                        part += 1
+                        out.append((*key, part, start, end))
+                        held = size
+                    break
+            yield pd.DataFrame(out, columns=["chr", "span", "part", "start", "end"])
 
-    def scan(key, rows: pd.DataFrame) -> pd.DataFrame:
-        out, held, before, part = [], 0, None, 0
-        for start, end in rows.sort_values(["start", "end"])[["start", "end"]].itertuples(index=False):
-            if held and before is not None and start - before > max_distance:
-                part, held = part + 1, 0
-            while True:
-                size = end - start
-                if held * 4 < target * 3:
-                    out.append((part, start, end))
-                    held, before = held + size, end
-                elif (held + size) * 4 <= target * 5:
-                    out.append((part, start, end))
-                    part, held, before = part + 1, 0, None
-                elif 0 < target - held < size:
-                    cut = start + target - held
-                    out.append((part, start, cut))
-                    part, held, start = part + 1, 0, cut
-                    continue
-                else:
-                    part += 1
-                    out.append((part, start, end))
-                    held, before = size, end
-                break
-        return pd.DataFrame([(key[0], p, a, b) for p, a, b in out], columns=["chr", "part", "start", "end"])
-
-    return bed.select("chr", F.col("start").cast("long"), F.col("end").cast("long")).groupBy("chr").applyInPandas(scan, "chr string, part long, start long, end long")
+    dealt = spans.repartition("chr", "span").sortWithinPartitions("chr", "span", "start", "end")  # rows stream, spans may be of any size
+    made = dealt.select("chr", "span", "start", "end").mapInPandas(scan, "chr string, span long, part long, start long, end long")
+    counts = made.groupBy("chr", "span").agg((F.max("part") + 1).alias("n"))
+    before = counts.select("chr", "span", (F.sum("n").over(Window.partitionBy("chr").orderBy("span")) - F.col("n")).alias("before"))
+    return made.join(before, ["chr", "span"]).select("chr", (F.col("part") + F.col("before")).alias("part"), "start", "end")
 
 
-def split_balanced(bed: DataFrame, parts: int, by_chromosome: bool = False, allow_breaks: bool = True) -> DataFrame:
+def split_balanced(bed: DataFrame, parts: int, by_chromosome: bool = False, allow_breaks: bool = True, most: int = 10_000) -> DataFrame:
     """(part, chr, start, end): ``parts`` sets of about equal size. Starts from one set for each interval, joins the two smallest while
     there are too many and halves the largest while there are too few; then evens out until the largest is at most twice the smallest.
 
     The rule is a global one over a region set (an interval file of a genome, bounded by its number of regions), so it runs as one
-    group; sets over unrelated keys run apart by ``groupBy``.
+    group. A set of over ``most`` intervals is refused: sum it up first (``summary``, ``partition`` of extents), as the query does.
     """
+    if bed.limit(most + 1).count() > most:
+        raise ValueError(f"a balanced split takes at most {most} intervals")
 
     def size(s):
         return sum(b - a for _, a, b in s)

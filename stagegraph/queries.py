@@ -1,7 +1,7 @@
 """The named query registry and the SQL that each entry is held against.
 
-How the concepts bind to the tables: a command is a line item of an order (stage = return flag, branch = line status, from the order date
-to the ship date, if not before it); an artifact is a document, order or event; the provenance graph is region -> nation -> customer ->
+How the concepts bind to the tables: a command is a line item of an order (stage = return flag, branch = line status, from the earlier
+of order and ship date to the later); an artifact is a document, order or event; the provenance graph is region -> nation -> customer ->
 order -> line; an interval is a part on its brand's axis; log and text lines are the lines of documents and conversations.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stagegraph.functions import naming, scalars
 from stagegraph.operators import checks, lineage, lines, regions, resolve, split, stats
 from stagegraph.plans import lanes
-from stagegraph.session import load
+from stagegraph.session import load, shared_folder
 from stagegraph.sources import files
 from stagegraph.streaming import events
 
@@ -44,18 +44,18 @@ def _ms(c: str):
 def commands(spark, sf_dir) -> DataFrame:
     items = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate", "l_quantity")
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
-    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).where("l_shipdate >= o_orderdate").select(
-        "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("stage"), F.col("l_linestatus").alias("branch"), _ms("o_orderdate").alias("start_ms"), _ms("l_shipdate").alias("stop_ms"),
+    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("stage"), F.col("l_linestatus").alias("branch"), _ms("least(o_orderdate, l_shipdate)").alias("start_ms"), _ms("greatest(o_orderdate, l_shipdate)").alias("stop_ms"),
         F.when(F.col("o_orderstatus") == "P", 1).otherwise(0).alias("exit_code"), F.col("l_linenumber").alias("procs"), F.col("l_quantity").cast("long").alias("bytes"), F.col("o_orderstatus").alias("status"),
     )
 
 
 COMMANDS = """
 commands AS (
-  SELECT l_orderkey, l_linenumber, l_returnflag AS stage, l_linestatus AS branch, (epoch_us(o_orderdate) // 1000) AS start_ms,
-         (epoch_us(l_shipdate) // 1000) AS stop_ms, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS exit_code,
+  SELECT l_orderkey, l_linenumber, l_returnflag AS stage, l_linestatus AS branch, (epoch_us(least(o_orderdate, l_shipdate)) // 1000) AS start_ms,
+         (epoch_us(greatest(o_orderdate, l_shipdate)) // 1000) AS stop_ms, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS exit_code,
          l_linenumber AS procs, CAST(l_quantity AS BIGINT) AS bytes, o_orderstatus AS status
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate)
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 """
 
 
@@ -364,11 +364,11 @@ def virtual_extension(spark, sf_dir):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_linenumber = 1 THEN 'first' WHEN l_linenumber = 2 THEN 'second' END, 'line' || l_linenumber) AS path FROM lineitem WHERE l_quantity > 45
+SELECT l_orderkey, l_linenumber, coalesce(CASE WHEN l_linenumber = 1 THEN 'first' WHEN l_linenumber = 2 THEN 'second' END, 'line' || l_linenumber) AS path FROM lineitem
 """)
 def aliases(spark, sf_dir):
     named = spark.createDataFrame([("line1", "first"), ("line2", "second")], "path string, to string")
-    rows = load(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber", F.concat(F.lit("line"), F.col("l_linenumber").cast("string")).alias("path"))
+    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("line"), F.col("l_linenumber").cast("string")).alias("path"))
     return resolve.aliased(rows, named).select("l_orderkey", "l_linenumber", "path")
 
 
@@ -603,19 +603,21 @@ SELECT line AS node, greatest(lts, ots) AS max_ts FROM o UNION ALL SELECT node,
 """)
 def lineage_max_ts(spark, sf_dir):
     nodes, edges = nodes_and_edges(spark, sf_dir)
-    return lineage.max_timestamps(nodes, edges, depth=4)
+    return lineage.max_timestamps(nodes, edges)
 
 
-@query(f"""
-WITH {GRAPH}, state AS (SELECT node, ts, NOT (starts_with(node, 'o_') AND CAST(substr(node, 3) AS BIGINT) % 5 = 0) AS file_exists FROM nodes),
-line AS (SELECT src AS o, dst AS node, NOT (p.ts >= l.ts) AS fresh FROM edges JOIN state p ON p.node = src JOIN state l ON l.node = dst WHERE starts_with(dst, 'l_')),
-ord AS (SELECT s.node, CASE WHEN file_exists THEN TRUE ELSE coalesce(bool_and(fresh), FALSE) END AS fresh FROM state s LEFT JOIN line ON o = s.node WHERE starts_with(s.node, 'o_') GROUP BY s.node, file_exists)
-SELECT node, fresh FROM line UNION ALL SELECT node, fresh FROM ord UNION ALL SELECT node, node LIKE 'r%' FROM state WHERE NOT (starts_with(node, 'o_') OR starts_with(node, 'l_'))
+@query("""
+WITH l AS MATERIALIZED (SELECT l_orderkey AS o, l_linenumber AS n, max(epoch_us(l_shipdate) // 1000) AS ts FROM lineitem GROUP BY 1, 2),
+o AS MATERIALIZED (SELECT o_orderkey AS o, epoch_us(o_orderdate) // 1000 AS ts FROM orders),
+line AS MATERIALIZED (SELECT l.o, l.n, NOT (o.ts >= l.ts) AS fresh FROM l JOIN o ON o.o = l.o),
+ord AS (SELECT o.o, CASE WHEN o.o % 5 <> 0 THEN TRUE ELSE coalesce(bool_and(line.fresh), FALSE) END AS fresh FROM o LEFT JOIN line ON line.o = o.o GROUP BY o.o)
+SELECT 'l_' || o || '_' || n AS node, fresh FROM line UNION ALL SELECT 'o_' || o, fresh FROM ord UNION ALL SELECT 'c_' || c_custkey, FALSE FROM customer
+UNION ALL SELECT 'n_' || n_nationkey, FALSE FROM nation UNION ALL SELECT 'r_' || r_regionkey, TRUE FROM region
 """)
 def lineage_up_to_date(spark, sf_dir):
     nodes, edges = nodes_and_edges(spark, sf_dir)
     gone = F.col("node").startswith("o_") & (F.substring_index("node", "_", -1).cast("long") % 5 == 0)
-    return lineage.up_to_date(nodes.withColumn("file_exists", ~gone).withColumn("cleaned", gone), edges, depth=4)
+    return lineage.up_to_date(nodes.withColumn("file_exists", ~gone).withColumn("cleaned", gone), edges)
 
 
 @query(f"""
@@ -668,6 +670,115 @@ def checks_failed(spark, sf_dir):
     return checks.summary(c, ["stage"])
 
 
+@query("""
+WITH n AS (SELECT o_orderkey AS k, o_custkey AS parent, o_orderstatus = 'O' AS preserve, o_orderkey % 11 <> 0 AS file_exists, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 1 END AS with_k FROM orders),
+own AS (SELECT k FROM n WHERE file_exists AND NOT preserve AND k IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2))
+SELECT k AS node FROM own UNION SELECT k FROM n WHERE file_exists AND NOT preserve AND with_k IN (SELECT k FROM own)
+""")
+def cleanup_accompanying(spark, sf_dir):
+    k = F.col("o_orderkey")
+    nodes = load(spark, sf_dir, "orders").select(k.alias("node"), (F.col("o_orderstatus") == "O").alias("preserve"), (k % 11 != 0).alias("file_exists"), F.lit(False).alias("intermediate"), F.when(k % 3 == 0, k + 1).alias("accompanies"))
+    edges = load(spark, sf_dir, "lineitem").where("l_linenumber = 2").select(F.col("l_orderkey").alias("src"), F.lit(-1).cast("long").alias("dst"))
+    return lineage.cleanup_candidates(nodes, edges)
+
+
+@query(f"""
+WITH RECURSIVE {GRAPH}, asked AS (SELECT node FROM nodes WHERE node IN ('n_3', 'n_7')),
+down(node) AS (SELECT node FROM asked UNION SELECT dst FROM down JOIN edges ON src = node), up(node) AS (SELECT node FROM asked UNION SELECT src FROM up JOIN edges ON dst = node),
+every AS (SELECT node FROM down UNION SELECT node FROM up)
+SELECT src, dst FROM edges WHERE src IN (SELECT node FROM every) AND dst IN (SELECT node FROM every)
+""")
+def lineage_neighbourhood(spark, sf_dir):
+    nodes, edges = nodes_and_edges(spark, sf_dir)
+    return lineage.neighbourhood(edges, nodes.where("node IN ('n_3', 'n_7')"), 4)
+
+
+@query("SELECT o_orderkey AS node, o_orderstatus = 'F' OR o_orderpriority = '1-URGENT' AS preserve FROM orders")
+def lineage_marked(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), (F.col("o_orderstatus") == "F").alias("preserve"), "o_orderpriority")
+    return lineage.marked(o.drop("o_orderpriority"), "preserve", o.where("o_orderpriority = '1-URGENT'").select("node"))
+
+
+@query("SELECT o_orderkey AS node, CASE WHEN o_orderstatus = 'P' THEN 1700000000000 ELSE epoch_us(o_orderdate) // 1000 END AS ts FROM orders")
+def lineage_touched(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), _ms("o_orderdate").alias("ts"), "o_orderstatus")
+    return lineage.touched(o.drop("o_orderstatus"), o.where("o_orderstatus = 'P'").select("node"), 1_700_000_000_000)
+
+
+@query("""
+WITH new AS (SELECT o_orderkey AS k, o_custkey + 1 AS src FROM orders WHERE o_orderstatus = 'P')
+SELECT o_custkey AS src, o_orderkey AS dst FROM orders WHERE o_orderkey NOT IN (SELECT k FROM new) UNION ALL SELECT src, k FROM new UNION ALL SELECT src, -k FROM new
+""")
+def lineage_added(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    nodes, edges = o.select(F.col("o_orderkey").alias("node")), o.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    new = o.where("o_orderstatus = 'P'").select((F.col("o_custkey") + 1).alias("src"), F.explode(F.array("o_orderkey", -F.col("o_orderkey"))).alias("dst"))
+    return lineage.added(nodes, edges, new.select(F.col("dst").alias("node")), new)[1]
+
+
+@query("SELECT o_orderkey AS output FROM orders WHERE o_orderkey % 4 = 0")
+def modified_commands(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("output"), F.col("o_orderpriority").alias("command"), "o_orderkey")
+    recorded = o.select("output", scalars.fingerprint(F.when(F.col("o_orderkey") % 4 == 0, F.concat("command", F.lit(" -x"))).otherwise(F.col("command")), "output").alias("fingerprint"))
+    return lineage.modified_commands(recorded, o.select("output", "command")).select(F.col("output").cast("long").alias("output"))
+
+
+@query("""
+SELECT source AS stage, count(*) AS n_checks, count(*) FILTER (WHERE quality = 0 AND toxic = 0 AND doc_id % 3 <> 0) AS n_failed FROM labels JOIN documents USING (doc_id) GROUP BY source
+""")
+def checks_overridden(spark, sf_dir):
+    c = load(spark, sf_dir, "labels").join(load(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select(F.col("doc_id").alias("check_id"), F.col("source").alias("stage"), (F.col("quality") == 1).alias("passed"), (F.col("toxic") == 1).alias("override"), F.lit(None).cast("string").alias("comment"))
+    return checks.summary(checks.overridden(c, c.where("check_id % 3 = 0").select("check_id", F.lit("seen").alias("comment"))), ["stage"])
+
+
+@query("""
+WITH i AS (SELECT l_orderkey, max(epoch_us(l_shipdate) // 1000) AS newest FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS check_id FROM orders LEFT JOIN i ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' OR newest > epoch_us(o_orderdate) // 1000
+""")
+def checks_due(spark, sf_dir):
+    c = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("check_id"), F.when(F.col("o_orderstatus") != "P", _ms("o_orderdate")).alias("executed"))
+    return checks.due(c, load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("check_id"), _ms("l_shipdate").alias("ts"))).select("check_id")
+
+
+@query("""
+SELECT a.c_custkey AS request_id, 'load' AS stage, CAST(b.o_orderkey % 7 AS VARCHAR) AS lane, CAST(b.o_orderkey AS VARCHAR) AS path FROM customer a JOIN orders b ON b.o_custkey = a.c_custkey
+""")
+def resolve_siblings(spark, sf_dir):
+    text = lambda c: F.col(c).cast("string")
+    made = load(spark, sf_dir, "orders").select(F.lit("load").alias("stage"), F.array(text("o_custkey"), (F.col("o_orderkey") % 7).cast("string")).alias("branch_path"), text("o_orderkey").alias("path"))
+    asked = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.lit("load").alias("stage"), F.array(text("c_custkey"), F.lit("own")).alias("branch_path"))
+    return resolve.siblings(made, asked)
+
+
+@query("SELECT p_brand AS chr, p_type AS gene, min(p_partkey * 100) AS start, max(p_partkey * 100 + p_size * 10) AS \"end\" FROM part GROUP BY ALL")
+def gene_extents(spark, sf_dir):
+    start = F.col("p_partkey") * 100
+    return regions.gene_extents(load(spark, sf_dir, "part").select(F.col("p_brand").alias("chr"), F.col("p_type").alias("gene"), start.alias("start"), (start + F.col("p_size") * 10).alias("end")))
+
+
+@query("""
+SELECT n_nationkey AS ord, n_regionkey + 1 AS wanted, least(n_regionkey + 1, 57 // 25 + CASE WHEN n_nationkey < 57 % 25 THEN 1 ELSE 0 END) AS granted FROM nation
+""")
+def resource_shares(spark, sf_dir):
+    return stats.shares(load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), (F.col("n_regionkey") + 1).alias("wanted")), 57)
+
+
+@query("""
+WITH s AS (SELECT p_brand AS chr, max(p_partkey * 100) AS size FROM part WHERE p_size > 1 GROUP BY 1), l AS (SELECT DISTINCT p_brand AS chr FROM part UNION ALL SELECT 'chrUn')
+SELECT l.chr, size, coalesce(l.chr || ':0-' || size, l.chr) AS region FROM l LEFT JOIN s ON s.chr = l.chr
+""")
+def whole_chromosomes(spark, sf_dir):
+    part = load(spark, sf_dir, "part")
+    sizes = part.where("p_size > 1").groupBy(F.col("p_brand").alias("chr")).agg(F.max(F.col("p_partkey") * 100).alias("size"))
+    return regions.whole_chromosomes(part.select(F.col("p_brand").alias("chr")).distinct().unionByName(spark.createDataFrame([("chrUn",)], "chr string")), sizes)
+
+
+@query(f"WITH {ARTIFACTS} SELECT ord, regexp_replace(path, '^(.*)_([0-9]+)[.]([a-z]+)[.]txt$', '\\3.\\2.out') AS output FROM artifacts WHERE regexp_matches(path, '^(.*)_([0-9]+)[.]([a-z]+)[.]txt$')")
+def name_substituted(spark, sf_dir):
+    made = naming.substituted("path", r"(.*)_([0-9]+)\.([a-z]+)\.txt", "$3.$2.out")
+    return artifacts(spark, sf_dir).select("ord", made.alias("output")).where("output IS NOT NULL")
+
+
 # ---------------------------------------------------------------- scalars
 
 
@@ -727,7 +838,7 @@ def stream_event_counts(spark, sf_dir):
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    base = shared_folder(spark) or tempfile.mkdtemp(prefix="stream-")
     folder = f"{base}/stream-{uuid.uuid4().hex}"
     path = f"{sf_dir}/events.parquet"
     table = spark.read.parquet(path)

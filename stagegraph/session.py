@@ -19,9 +19,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder of spark.checkpoint.dir. Only a local session, as in tests, may go without (None): no executor's own disk will do."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if found is None and current.isDefined():
+        found = current.get()
+    if found is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return found
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once, for a loop that reads it again and again: in the shared folder of spark.checkpoint.dir, or where that is unset,
-    as in a local session, persisted."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None:
+    """df computed once, for a loop that reads it again and again: in the shared folder, or in a local session without one, persisted."""
+    if shared_folder(df.sparkSession) is None:
         return df.persist()
     return df.checkpoint(eager=True)

@@ -82,6 +82,18 @@ def output_records(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def check_records(spark: SparkSession, path: str) -> DataFrame:
+    """Checks of property files, as ``operators.checks`` takes them; check_id is the id of stage, name and branch."""
+    e = properties(spark, path)
+    text = lambda k: F.col("entries")[k]
+    flag = lambda k: F.coalesce(F.lower(text(k)) == "true", F.lit(False))
+    check_id = F.sha1(F.concat_ws("\0", F.coalesce(text("stage"), F.lit("")), F.coalesce(text("name"), F.lit("")), F.coalesce(text("branch"), F.lit(""))))
+    return e.select(
+        check_id.alias("check_id"), text("stage").alias("stage"), text("name").alias("name"), text("branch").alias("branch"), flag("passed").alias("passed"), flag("override").alias("override"),
+        text("comment").alias("comment"), text("message").alias("message"), text("executed").try_cast("long").alias("executed"), text("script").alias("script"), text("state").alias("state"),
+    )
+
+
 def upserted(records: DataFrame, new: DataFrame) -> DataFrame:
     """Records with ``new`` ones of the same output in their place."""
     return records.join(new.select("output_path"), "output_path", "left_anti").unionByName(new)

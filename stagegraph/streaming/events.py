@@ -63,11 +63,21 @@ def throttled(events: DataFrame, interval_ms: int) -> DataFrame:
     gap = F.col("ts_ms") - F.lag("ts_ms").over(w)
     spans = events.withColumn("_new", (gap.isNull() | (gap >= interval_ms)).cast("int")).withColumn("span", F.sum("_new").over(w))
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts_ms", "event_id"])
-        return rows[_sent(rows["ts_ms"].tolist(), interval_ms, None)[0]][["event_id", "event_type", "channel", "ts_ms"]]
-
-    return spans.select("event_id", "event_type", "channel", "ts_ms", "span").groupBy("channel", "event_type", "span").applyInPandas(scan, "event_id long, event_type string, channel string, ts_ms long")
+    names = ["event_id", "event_type", "channel", "ts_ms"]
+
+    def scan(batches):
+        now, last = None, None
+        for rows in batches:
+            sent = []
+            for key in rows[["channel", "event_type", "span", "ts_ms"]].itertuples(index=False):
+                if key[:3] != now:
+                    now, last = key[:3], None
+                (send,), last = _sent([key[3]], interval_ms, last)
+                sent.append(send)
+            yield rows.loc[sent, names]
+
+    dealt = spans.repartition("channel", "event_type", "span").sortWithinPartitions("channel", "event_type", "span", "ts_ms", "event_id")
+    return dealt.select(*names, "span").mapInPandas(scan, "event_id long, event_type string, channel string, ts_ms long")  # rows stream
 
 
 def throttled_stream(events: DataFrame, interval_ms: int) -> DataFrame:

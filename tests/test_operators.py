@@ -174,3 +174,65 @@ def test_branch_ancestry_and_siblings(spark):
     asked = spark.createDataFrame([(1, "s", ["x", "y"])], "request_id int, stage string, branch_path array<string>")
     assert {r.path for r in resolve.from_stages(made, asked).collect()} == {"p1", "p2"}
     assert {r.path for r in resolve.siblings(made, asked).collect()} == {"p2", "p3"}
+
+
+def test_sequential_split_by_one_scan(spark):
+    import random
+
+    rng = random.Random(3)
+    bed, at = [], {}
+    for _ in range(400):
+        c = f"chr{rng.randrange(3)}"
+        start = at.get(c, 0) + rng.choice([0, 1, 5, 50, 900])
+        at[c] = start + rng.randrange(200)
+        bed.append((c, start, at[c]))
+    target = max(1, sum(b - a for _, a, b in bed) // 9)
+    wanted, now, part, held, before = [], None, 0, 0, None
+    for c, start, end in sorted(bed):
+        if c != now:
+            now, part, held, before = c, 0, 0, None
+        if held and before is not None and start - before > 300:
+            part, held = part + 1, 0
+        while True:
+            size = end - start
+            if 4 * held < 3 * target:
+                wanted.append((c, part, start, end))
+                held += size
+            elif 4 * (held + size) <= 5 * target:
+                wanted.append((c, part, start, end))
+                part, held = part + 1, 0
+            elif 0 < target - held < size:
+                wanted.append((c, part, start, start + target - held))
+                part, held, start = part + 1, 0, start + target - held
+                continue
+            else:
+                part += 1
+                wanted.append((c, part, start, end))
+                held = size
+            before = end
+            break
+    got = [tuple(r) for r in regions.split_sequential(spark.createDataFrame(bed, "chr string, start long, end long"), 9, 300).collect()]
+    dense = lambda rows: sorted((c, sorted({p for d, p, _, _ in rows if d == c}).index(p), a, b) for c, p, a, b in rows)
+    assert dense(got) == dense(wanted)
+    with pytest.raises(ValueError):
+        regions.split_balanced(spark.createDataFrame(bed, "chr string, start long, end long"), 3, most=10)
+
+
+def test_freshness_through_cleaned_nodes_of_several_levels(spark):
+    nodes = spark.createDataFrame([("a", 1, True, False, None, None), ("b", 2, False, True, None, None), ("c", 3, False, True, None, None), ("d", 4, True, False, None, None), ("e", 1, True, False, 5, 9), ("f", 2, False, True, None, None), ("g", 1, True, False, 9, 5), ("h", None, False, False, None, None)], "node string, ts long, file_exists boolean, cleaned boolean, stop_ms long, create_ms long")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "e"), ("e", "f"), ("g", "e"), ("x", "a")], "src string, dst string")
+    # e has an input of its own time: a has no known stop, so it counts as newer; f has no outputs
+    assert {r.node: r.fresh for r in lineage.up_to_date(nodes, edges).collect()} == {"a": True, "b": True, "c": True, "d": True, "e": False, "f": False, "g": True, "h": False}
+    assert {r.node: r.max_ts for r in lineage.max_timestamps(nodes, edges).collect()} == {"a": 1, "b": 2, "c": 3, "d": 4, "e": 1, "f": 2, "g": 1, "h": None}
+
+
+def test_check_records(spark, tmp_path):
+    from stagegraph.sources import files
+
+    for i, text in enumerate(("#Checks\nstage=align\nname=depth\nbranch=s1\npassed=false\noverride=true\ncomment=ok = fine\nexecuted=1700\nstate=x\n", "stage=align\npassed=true\n", "stage=qc\nname=depth\npassed=false\nexecuted=soon\n")):
+        (tmp_path / f"{i}.properties").write_text(text)
+    found = files.check_records(spark, str(tmp_path))
+    rows = {(r.stage, r.name): r for r in found.collect()}
+    assert rows[("align", "depth")].override and rows[("align", "depth")].comment == "ok = fine" and rows[("align", "depth")].executed == 1700 and rows[("qc", "depth")].executed is None
+    assert len({r.check_id for r in rows.values()}) == 3
+    assert {r.stage: (r.n_checks, r.n_failed) for r in checks.summary(found, ["stage"]).collect()} == {"align": (2, 0), "qc": (1, 1)}
