@@ -43,6 +43,7 @@ NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleve
 DROPPED, WORD, NUMBER, QUANTITY, UNIT, NAME = range(6)
 _NUMBER = re.compile(r"[-+]?\d+(?:[.,:/]\d+)*(?:st|nd|rd|th)?")
 _QUANTITY = re.compile(r"[-+]?\d+(?:[.,]\d+)*([^\W\d_]+|°[cf])", re.IGNORECASE)
+_ASCII = bytes(c for c in range(128) if not chr(c).isalnum())
 _CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.DOTALL)
 _SLOT = np.array([xxhash.xxh64_intdigest(b"slot", kind) for kind in range(6)], dtype=np.uint64)
 
@@ -51,9 +52,21 @@ class Canon(dict):
     """Word (bytes) -> its number; for each number the kind, the hash of the plain form, whether a sentence ends, the plain form."""
 
     def __init__(self):
-        self.kind, self.hash, self.ends, self.plain, self.made = [], [], [], [], None
+        self.kind, self.hash, self.ends, self.plain = [], [], [], []
+        self.made = np.zeros(0, dtype=np.int8), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
 
     def __missing__(self, word: bytes) -> int:
+        core = word.strip(_ASCII)
+        if core.isalpha():  # ASCII letters between punctuation, as most words are: the same answers without patterns
+            low = core.lower()
+            plain = low.decode("ascii")
+            if plain in NUMBERS:
+                kind = NUMBER
+            elif plain in UNITS:
+                kind = UNIT
+            else:
+                kind = NAME if core[:1].isupper() and core[1:] and not core[1:].isupper() else WORD
+            return self._add(word, kind, low, len(core) < len(word) and any(c in b".!?" for c in word[word.index(core) + len(core) :]), plain)
         text = word.decode("utf-8", "replace")
         found = _CORE.search(text)
         core = found[0] if found else ""
@@ -70,16 +83,21 @@ class Canon(dict):
             kind = NAME
         else:
             kind = WORD
+        return self._add(word, kind, low.encode("utf-8", "replace"), any(c in ".!?" for c in (text[found.end() :] if found else text)), low)
+
+    def _add(self, word: bytes, kind: int, low: bytes, ends: bool, plain: str) -> int:
         self.kind.append(kind)
-        self.hash.append(xxhash.xxh64_intdigest(low.encode("utf-8", "replace"), 7))
-        self.ends.append(any(c in ".!?" for c in (text[found.end() :] if found else text)))
-        self.plain.append(low)
+        self.hash.append(xxhash.xxh64_intdigest(low, 7))
+        self.ends.append(ends)
+        self.plain.append(plain)
         self[word] = number = len(self.kind) - 1
         return number
 
     def arrays(self):
-        if self.made is None or len(self.made[0]) < len(self.kind):
-            self.made = np.array(self.kind, dtype=np.int8), np.array(self.hash, dtype=np.uint64), np.array(self.ends, dtype=bool)
+        """The words' kinds, hashes and ends as arrays; only words that came since the last call are turned into arrays anew."""
+        n = len(self.made[0])
+        if n < len(self.kind):
+            self.made = tuple(np.concatenate((old, np.array(of[n:], dtype=old.dtype))) for old, of in zip(self.made, (self.kind, self.hash, self.ends), strict=True))
         return self.made
 
     def templates(self, texts: list[bytes]):
@@ -87,8 +105,7 @@ class Canon(dict):
         sentence, word numbers, the texts' n + 1 offsets)."""
         words = [t.split() for t in texts]
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        of = self.__getitem__
-        number = np.fromiter((of(w) for x in words for w in x), dtype=np.int64, count=int(lengths.sum()))
+        number = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(words)), dtype=np.int64, count=int(lengths.sum()))
         kind, plain, ends = (x[number] for x in self.arrays())
         text = np.repeat(np.arange(len(texts)), lengths)
         kept = kind != DROPPED
