@@ -15,13 +15,18 @@ def valid() -> Column:
     return (F.col("exit_code") == 0) & (F.col("start_ms") > 0)
 
 
+def total(c: Column) -> Column:
+    """The exact sum of longs. Milliseconds of some 30 million commands of days come to more than a long holds."""
+    return F.sum(c.cast("decimal(20,0)"))
+
+
 def stage_stats(commands: DataFrame) -> DataFrame:
     """Per stage: the number of all commands, and of the valid ones the durations, weight in seconds, input bytes and the extent
     relative to the run's first start. Stages without a valid command are left out."""
     ok = F.when(valid(), duration())
     per_stage = commands.groupBy("stage").agg(
-        F.count("*").alias("n_commands"), F.count_if(valid()).alias("n_valid"), F.min(ok).alias("min_ms"), F.round(F.avg(ok), 3).alias("mean_ms"), F.max(ok).alias("max_ms"),
-        F.floor(F.sum(ok) / 1000).cast("long").alias("weight_s"), F.max(F.when(valid(), F.col("procs"))).alias("max_procs"), F.sum(F.when(valid(), F.col("bytes"))).alias("input_bytes"),
+        F.count("*").alias("n_commands"), F.count_if(valid()).alias("n_valid"), F.min(ok).alias("min_ms"), F.round(total(ok).cast("double") / F.nullif(F.count(ok), F.lit(0)), 3).alias("mean_ms"), F.max(ok).alias("max_ms"),
+        F.floor(total(ok).cast("double") / 1000).cast("long").alias("weight_s"), F.max(F.when(valid(), F.col("procs"))).alias("max_procs"), F.sum(F.when(valid(), F.col("bytes"))).alias("input_bytes"),
         F.min(F.when(valid(), F.col("start_ms"))).alias("first_start"), F.max(F.when(valid(), F.col("stop_ms"))).alias("last_stop"),
         F.min(F.when(F.col("start_ms") > 0, F.col("start_ms"))).alias("any_start"),
     ).withColumn("run_start", F.min("any_start").over(Window.partitionBy(F.lit(0)))).where("n_valid > 0")
@@ -36,8 +41,8 @@ def run_totals(commands: DataFrame, now_ms: int) -> DataFrame:
     stop = F.coalesce("stop_ms", F.lit(now_ms))
     ran = (F.col("start_ms") > 0) & (stop > F.col("start_ms"))
     return commands.agg(
-        F.count("*").alias("n_commands"), F.bool_and(F.col("exit_code") == 0).alias("succeeded"), F.sum(duration()).alias("command_ms"),
-        F.round(F.sum(F.when(ran, (stop - F.col("start_ms")) * F.col("procs"))) / 3_600_000, 4).alias("cpu_hours"),
+        F.count("*").alias("n_commands"), F.bool_and(F.col("exit_code") == 0).alias("succeeded"), total(duration()).cast("long").alias("command_ms"),
+        F.round(total(F.when(ran, (stop - F.col("start_ms")) * F.col("procs"))).cast("double") / 3_600_000, 4).alias("cpu_hours"),
     )
 
 

@@ -117,6 +117,15 @@ def test_statistics_of_failed_stages(spark):
     assert [r.granted for r in shares.orderBy("ord").collect()] == [3, 3, 1]
 
 
+def test_times_add_up_beyond_a_long(spark):
+    schema = "stage string, branch string, start_ms long, stop_ms long, exit_code int, procs int, bytes long"
+    c = spark.createDataFrame([("a", "x", 1, 10**18 + 1, 0, 7, 1)] * 4, schema)
+    assert tuple(stats.run_totals(c, 0).first()) == (4, True, 4 * 10**18, round(28 * 10**18 / 3_600_000, 4))
+    long = spark.createDataFrame([("a", "x", 1, 3 * 10**18 + 1, 0, 1, 1)] * 4, schema)
+    row = stats.stage_stats(long).first()
+    assert (row.weight_s, row.mean_ms) == (12 * 10**15, 3e18)
+
+
 def test_checks(spark):
     c = spark.createDataFrame([(1, "s", True, False, ""), (2, "s", False, False, ""), (3, "s", None, None, None)], "check_id int, stage string, passed boolean, override boolean, comment string")
     assert checks.summary(c, ["stage"]).first().n_failed == 2
