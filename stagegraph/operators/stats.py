@@ -47,11 +47,11 @@ def run_totals(commands: DataFrame, now_ms: int) -> DataFrame:
 
 
 def instances(commands: DataFrame, keys: list[str]) -> DataFrame:
-    """Per command: its times relative to its stage's first start, longest first. The stage's start is an aggregate joined back, so a
-    stage with most of the commands is no single task."""
+    """Per command: its times relative to its stage's first start. The stages' starts, a row for each stage, go to every task: commands are
+    not dealt by stage, so a stage with most of them is no single task."""
     begun = commands.where("start_ms > 0 AND stage IS NOT NULL")
     first = begun.groupBy("stage").agg(F.min("start_ms").alias("stage_start"))
-    return begun.join(first, "stage").select(*keys, "stage", duration().alias("ms"), (F.col("start_ms") - F.col("stage_start")).alias("rel_start"), (F.col("stop_ms") - F.col("stage_start")).alias("rel_end"))
+    return begun.join(F.broadcast(first), "stage").select(*keys, "stage", duration().alias("ms"), (F.col("start_ms") - F.col("stage_start")).alias("rel_start"), (F.col("stop_ms") - F.col("stage_start")).alias("rel_end"))
 
 
 def status_summary(commands: DataFrame) -> DataFrame:

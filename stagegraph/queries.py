@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stagegraph.functions import naming, scalars
 from stagegraph.operators import checks, lineage, lines, regions, resolve, split, stats
 from stagegraph.plans import lanes
-from stagegraph.session import load, shared_folder
+from stagegraph.session import dealt, load, shared_folder
 from stagegraph.sources import files
 from stagegraph.streaming import events
 
@@ -42,7 +42,7 @@ def _ms(c: str):
 
 
 def commands(spark, sf_dir) -> DataFrame:
-    items = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate", "l_quantity")
+    items = dealt(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate", "l_quantity"), "l_orderkey")
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
     return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("stage"), F.col("l_linestatus").alias("branch"), _ms("least(o_orderdate, l_shipdate)").alias("start_ms"), _ms("greatest(o_orderdate, l_shipdate)").alias("stop_ms"),

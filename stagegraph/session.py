@@ -19,6 +19,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by its keys in the session's number of shuffle partitions, which adaptive execution leaves as they are: for a task that holds
+    its rows several times over (two sorts and two aggregates, say), where 64 MB of shuffled bytes are too many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def shared_folder(spark: SparkSession) -> str | None:
     """The folder of spark.checkpoint.dir. Only a local session, as in tests, may go without (None): no executor's own disk will do."""
     found = spark.conf.get("spark.checkpoint.dir", None)

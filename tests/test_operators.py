@@ -131,6 +131,14 @@ def exchanges(df):
     return [x.strip() for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
 
 
+def test_stage_instances_deal_no_command_by_its_stage(spark):
+    schema = "id long, stage string, start_ms long, stop_ms long"
+    c = spark.createDataFrame([(1, "a", 5, 9), (2, "a", 3, 4), (3, "b", 7, 8), (4, None, 1, 2), (5, "b", 0, 2)], schema)
+    out = stats.instances(c, ["id"])
+    assert len(exchanges(out)) == 1  # that of the stages' starts
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a", 4, 2, 6), (2, "a", 1, 0, 1), (3, "b", 1, 0, 1)]
+
+
 def test_settings_by_precedence_deal_no_command(spark):
     c = spark.createDataFrame([(1, "a", "x"), (2, "b", None), (3, None, "y")], "id long, stage string, config string")
     s = spark.createDataFrame([("default", "", "k", "0"), ("default", "", "q", "0"), ("stage", "a", "k", "1"), ("stage", "a", "only", "1"), ("command", "x", "k", "2"), ("command", "y", "k", None), ("command", "y", "z", "2"), ("default", "b", "k", "9")], "level string, name string, key string, value string")
