@@ -533,7 +533,8 @@ SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem JOIN orders ON l_or
 WHERE CASE WHEN l_shipdate < o_orderdate THEN FALSE WHEN l_shipdate > o_orderdate THEN TRUE WHEN l_linenumber = 0 THEN TRUE ELSE l_linenumber >= 3 END GROUP BY ALL
 """)
 def newer_inputs_tiebreak(spark, sf_dir):
-    both = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    items = dealt(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), "l_orderkey")
+    both = items.join(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     newer = lineage.is_newer(_ms("l_shipdate"), _ms("o_orderdate"), F.col("l_linenumber"), F.lit(3))
     return both.where(newer).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
 

@@ -38,3 +38,9 @@ def test_throttled_notifications_by_brute_force(spark, sf_dir):
             last[key] = r.t
             wanted.add(r.event_id)
     assert got == wanted
+
+
+def test_tiebreak_keeps_the_number_of_partitions(spark, sf_dir):
+    out = queries.QUERIES["newer_inputs_tiebreak"](spark, sf_dir)
+    out.collect()
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
