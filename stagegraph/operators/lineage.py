@@ -74,7 +74,7 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def max_timestamps(nodes: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, max_ts): the latest of a node's own time and those of all its ancestors. A level carries on only the times that are later
     than the own one of the node they reach; others have been carried on by that node. It ends when no time is carried on."""
-    own = nodes.select("node", "ts")
+    own, edges = settled(nodes.select("node", "ts")), settled(edges.select("src", "dst"))
     carried, risen, level = own.select(F.col("node").alias("src"), F.col("ts").alias("up")), None, 0
     while depth is None or level < depth:
         above = edges.join(carried, "src").groupBy(F.col("dst").alias("node")).agg(F.max("up").alias("up"))
@@ -102,19 +102,29 @@ def up_to_date(nodes: DataFrame, edges: DataFrame, depth: int | None = None) ->
     as fresh as its outputs, all of which must be, and stale without any. Only cleaned nodes without a newer input are left open by
     their own state; a level looks at the edges out of open nodes alone.
     """
-    have = nodes
-    for c in ("stop_ms", "create_ms"):
-        if c not in have.columns:
-            have = have.withColumn(c, F.lit(0).cast("long"))
-    latest = max_timestamps(nodes, edges, depth)
-    up = have.select("node", F.col("stop_ms").alias("in_stop")).join(latest, "node").select(F.col("node").alias("src"), F.col("max_ts").alias("in_ts"), "in_stop")
+    have = nodes.select("node", "ts", "file_exists", "cleaned", *[F.col(c) if c in nodes.columns else F.lit(0).cast("long").alias(c) for c in ("stop_ms", "create_ms")])
+    have, edges = settled(have), settled(edges.select("src", "dst"))
+
     # an input is newer if one with its time and the most telling stop is: none known, or the latest
     telling = F.struct("in_ts", F.when(F.coalesce("in_stop", F.lit(0)) == 0, F.lit(2**63 - 1)).otherwise(F.col("in_stop")).alias("in_stop"))
-    into = edges.join(up, "src").groupBy(F.col("dst").alias("node")).agg(F.max(telling).alias("newest"))
+    into = lambda up: edges.join(up, "src").groupBy(F.col("dst").alias("node")).agg(F.max(telling).alias("newest"))
+    risen = lambda of: of.where(F.coalesce(F.col("newest.in_ts") > F.coalesce("ts", F.lit(-(2**63))), F.lit(False))).select(F.col("node").alias("src"), F.col("newest.in_ts").alias("in_ts"), F.col("stop_ms").alias("in_stop"))
+    # the first level looks at the inputs' own times; an input that has a later one from its ancestors is looked at again with that
+    met = settled(have.join(into(have.select(F.col("node").alias("src"), F.col("ts").alias("in_ts"), F.col("stop_ms").alias("in_stop"))), "node", "left"))
+    carried, more, level = risen(met), None, 0
+    while depth is None or level < depth:
+        found = settled(into(carried))
+        if found.isEmpty():
+            break
+        more = found if more is None else more.unionByName(found)
+        carried, level = risen(have.join(found, "node")), level + 1
+    if more is not None:
+        again = more.groupBy("node").agg(F.max("newest").alias("again"))
+        met = settled(met.join(again, "node", "left").withColumn("newest", F.greatest("newest", "again")))
     stop = F.when(F.col("newest.in_stop") < 2**63 - 1, F.col("newest.in_stop"))
     newer = F.col("newest").isNotNull() & is_newer(F.col("newest.in_ts"), F.col("ts"), stop, F.col("create_ms"))
     state = F.when(F.coalesce(newer, F.lit(False)), False).when(F.col("file_exists"), True).when(~F.col("cleaned"), False)
-    own = settled(have.join(into, "node", "left").select("node", state.alias("fresh")))  # null: up to the outputs
+    own = met.select("node", state.alias("fresh"))  # null: up to the outputs
     still = own.where("fresh IS NULL").select(F.col("node").alias("src"))
     below = settled(edges.join(still, "src", "left_semi").join(own.select(F.col("node").alias("dst"), F.col("fresh").alias("f")), "dst"))
     known = None
@@ -128,7 +138,8 @@ def up_to_date(nodes: DataFrame, edges: DataFrame, depth: int | None = None) ->
         below = settled(rest.join(now.select(F.col("node").alias("dst"), "said"), "dst", "left").select("src", "dst", F.coalesce("f", "said").alias("f")))
     if known is None:
         return own.select("node", F.coalesce("fresh", F.lit(False)).alias("fresh"))
-    return own.join(known, "node", "left").select("node", F.coalesce("fresh", "said", F.lit(False)).alias("fresh"))
+    told = own.where("fresh IS NULL").select("node").join(known, "node", "left").select("node", F.coalesce("said", F.lit(False)).alias("fresh"))
+    return own.where("fresh IS NOT NULL").unionByName(told)
 
 
 def cleanup_candidates(nodes: DataFrame, edges: DataFrame) -> DataFrame:

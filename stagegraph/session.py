@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,7 +39,11 @@ def shared_folder(spark: SparkSession) -> str | None:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once, for a loop that reads it again and again: in the shared folder, or in a local session without one, persisted."""
-    if shared_folder(df.sparkSession) is None:
+    """df computed once, for a loop that reads it again and again: a Parquet table of its own in the shared folder (a checkpoint would
+    run df's last stage twice, and hide its size from joins), or in a local session without such a folder, persisted."""
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
         return df.persist()
-    return df.checkpoint(eager=True)
+    path = f"{folder}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

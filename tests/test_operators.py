@@ -258,6 +258,22 @@ def test_freshness_through_cleaned_nodes_of_several_levels(spark):
     assert {r.node: r.max_ts for r in lineage.max_timestamps(nodes, edges).collect()} == {"a": 1, "b": 2, "c": 3, "d": 4, "e": 1, "f": 2, "g": 1, "h": None}
 
 
+def test_freshness_computes_nodes_and_edges_once(spark):
+    def counted(df, seen):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(run, df.schema)
+
+    nodes = spark.createDataFrame([("a", 9, True, False), ("b", 1, True, False), ("c", 9, False, True), ("d", 9, True, False)], NODE)
+    read = [spark.sparkContext.accumulator(0) for _ in range(2)]
+    got = lineage.up_to_date(counted(nodes, read[0]), counted(spark.createDataFrame(EDGES, "src string, dst string"), read[1])).collect()
+    assert {r.node: r.fresh for r in got} == {"a": True, "b": False, "c": False, "d": False}
+    assert [x.value for x in read] == [4, 3]
+
+
 def test_check_records(spark, tmp_path):
     from stagegraph.sources import files
 
