@@ -154,11 +154,16 @@ PIECE = "chunk long, bucket int, data binary"
 def encode(docs: DataFrame, path: str, pattern: str, buckets: int | None = None, chunk_words: int = 1_000_000) -> DataFrame:
     """(doc_id, ids array<int>) of docs' doc_id and text by the ranks in the file ``path``. ``buckets`` of distinct words: by default
     four for each shuffle partition, 256 at least."""
+    return _encoded(docs, path, pattern, buckets, chunk_words, lambda batches: batches, "doc_id long, ids array<int>")
+
+
+def _encoded(docs: DataFrame, path: str, pattern: str, buckets: int | None, chunk_words: int, finish, shape: str) -> DataFrame:
+    """What ``finish`` makes of a run's batches of (doc_id, ids), in the task and worker that put them together."""
     spark = docs.sparkSession
     buckets = buckets or max(256, 4 * partitions(docs))
     docs = docs.select("doc_id", "text")
     ranks = spark.sparkContext.broadcast(load_ranks(path))  # a vocabulary: of fixed size
-    piece, done = arrow_schema(spark, PIECE), arrow_schema(spark, "doc_id long, ids array<int>")
+    piece, done, target = (arrow_schema(spark, x) for x in (PIECE, "doc_id long, ids array<int>", shape))
 
     def distinct_words(batches):
         for chunk, _, _, _, words in _chunks(batches, pattern, chunk_words):
@@ -208,13 +213,13 @@ def encode(docs: DataFrame, path: str, pattern: str, buckets: int | None = None,
             gather = np.repeat(start[mine] - to[:-1], per_word) + np.arange(to[-1])
             offsets = to[ends[a : b + 1] - ends[a]].astype(np.int32)
             parts.append(pa.RecordBatch.from_arrays([doc.slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[gather]))], schema=done))
-        return pa.Table.from_batches(parts, schema=done)
+        return pa.Table.from_batches(list(finish(parts)), schema=target)
 
     n = partitions(docs)
     words = docs.mapInArrow(distinct_words, PIECE)
     ids = words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(encoded_words, PIECE)
     # Each side is dealt from a stage of its own, whose partitions are those of docs; so both passes number the runs alike.
-    return ids.groupBy("chunk").cogroup(docs.mapInArrow(positions, PIECE).groupBy("chunk")).applyInArrow(together, "doc_id long, ids array<int>")
+    return ids.groupBy("chunk").cogroup(docs.mapInArrow(positions, PIECE).groupBy("chunk")).applyInArrow(together, shape)
 
 
 def _runs(offsets: np.ndarray, most: int = 1 << 18):
@@ -255,11 +260,12 @@ def _lists(column) -> list[list[int]]:
     return [flat[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """Per document: ids, n_tokens, and the SHA-256 of the decimal ids joined by commas and of the decoded bytes."""
-    shape = "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    target = arrow_schema(encoded.sparkSession, shape)
-    tokens = encoded.sparkSession.sparkContext.broadcast(token_bytes(load_ranks(path)))
+DIGESTS = "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digester(spark: SparkSession, path: str):
+    target = arrow_schema(spark, DIGESTS)
+    tokens = spark.sparkContext.broadcast(token_bytes(load_ranks(path)))
 
     def run(batches):
         of = tokens.value
@@ -269,12 +275,22 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
             lists = _lists(batch.column("ids"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array([len(x) for x in lists], pa.int64()), pa.array([sha(b",".join([decimal[i] for i in x])) for x in lists]), pa.array([sha(b"".join([of[i] for i in x])) for x in lists])], schema=target)
 
-    return encoded.mapInArrow(run, shape)
+    return run
+
+
+def digests(encoded: DataFrame, path: str) -> DataFrame:
+    """Per document: ids, n_tokens, and the SHA-256 of the decimal ids joined by commas and of the decoded bytes."""
+    return encoded.mapInArrow(_digester(encoded.sparkSession, path), DIGESTS)
+
+
+def encoded_digests(docs: DataFrame, path: str, pattern: str, buckets: int | None = None, chunk_words: int = 1_000_000) -> DataFrame:
+    """``digests`` of ``encode``. Both steps run in one Python worker for each task, not in two that are in memory at once."""
+    return _encoded(docs, path, pattern, buckets, chunk_words, _digester(docs.sparkSession, path), DIGESTS)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
     import public_tokenizers
 
     path = path or public_tokenizers.path(VOCABULARY)
-    done = digests(encode(table(spark, sf_dir, "documents"), path, pattern or public_tokenizers.PATTERN), path)
+    done = encoded_digests(table(spark, sf_dir, "documents"), path, pattern or public_tokenizers.PATTERN)
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,12 +42,29 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def give_back() -> None:
+    """Memory that is free in this process goes back to the system. Spark keeps a task's Python worker for later tasks, and a worker
+    keeps what it freed, so without this each worker stays at the largest size that it ever had."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc has it
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``most`` bytes, so that a task holds few of its texts as Python objects at a time."""
+    """The same rows in slices of about ``most`` bytes, so that a task holds few of its texts as Python objects at a time. What is free
+    goes back before the first, about every four slices and after the last."""
+    give_back()
+    held = 0
     for batch in batches:
+        held += batch.nbytes
         step = max(1, batch.num_rows * most // max(1, batch.nbytes))
         for i in range(0, batch.num_rows, step):
             yield batch.slice(i, step)
+        if held > 4 * most:
+            batch, held = None, 0
+            give_back()
+    batch = None
+    give_back()
 
 
 def record(columns: dict, schema: pa.Schema) -> pa.RecordBatch:

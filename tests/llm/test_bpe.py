@@ -46,3 +46,10 @@ def test_every_code_point_is_split_as_the_library_does(spark):
     odd = spark.createDataFrame([(1, "".join(f"a{c}1 {c}" for c in "\u0558\u088f\ua7ce\U00010940\U0001fbf0")), (None, "a\u0558b")], "doc_id long, text string")
     got = {r.doc_id: list(r.ids) for r in bpe.encode(odd, PATH, public_tokenizers.PATTERN).collect()}
     assert got == {r.doc_id: library.encode_ordinary(r.text) for r in odd.collect()}
+
+
+def test_digests_need_no_second_worker(spark):
+    apart = bpe.digests(bpe.encode(frame(spark), PATH, public_tokenizers.PATTERN, chunk_words=2000), PATH)
+    one = bpe.encoded_digests(frame(spark), PATH, public_tokenizers.PATTERN, chunk_words=2000)
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, apart.collect()))
+    assert "MapInArrow" not in one._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
